@@ -7,6 +7,7 @@ from itertools import accumulate
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of an item."""
+    place, schema = docs.columns.index(text_col), docs.schema
+    for block in _blocks(benchmark, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, shared=shared):
+            scanner = Scanner(shared.value, size)
+            for b in batches:
+                yield b.filter(pa.array([not scanner.scan(t)[1] for t in b.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
+
+
 def _merged(spans):
     """Overlapping spans as one."""
 
