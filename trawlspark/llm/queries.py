@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality, simhash, token_count, toxicity
-from .common import table
+from . import byte_bpe, chat, decontaminate, quality, sharding, simhash, token_count, toxicity, warc
+from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -39,6 +39,19 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.examples(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+    return chat.digest(written(found, "examples"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -46,5 +59,8 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
     "op7_token_count": op7_token_count,
+    "op8_warc": op8_warc,
+    "op9_sharding": op9_sharding,
+    "op10_chat": op10_chat,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
