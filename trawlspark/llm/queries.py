@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, quality, sharding, simhash, token_count, toxicity, warc
+from . import byte_bpe, chat, decontaminate, ngram_lm, quality, sharding, simhash, token_count, toxicity, warc
 from .common import table, written
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ruled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality": op5_quality,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_token_count": op7_token_count,
     "op8_warc": op8_warc,
     "op9_sharding": op9_sharding,
