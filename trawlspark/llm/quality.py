@@ -39,11 +39,11 @@ def _index(first: int, n: Column) -> Column:
     return F.sequence(F.lit(first), n)
 
 
-def windows(w: Column, size: int = 8) -> Column:
-    """A 64-bit hash of each window of words."""
-    n = F.size(w)
+def paired(h: Column, step: int) -> Column:
+    """From hashes of windows at each place, those of windows twice as long: two that lie step apart."""
+    n = F.size(h)
     none = F.array().cast("array<bigint>")
-    return F.when(n < size, none).otherwise(F.transform(_index(1, n - size + 1), lambda i: F.xxhash64(F.slice(w, i, size))))
+    return F.when(n <= step, none).otherwise(F.transform(_index(step, n - 1), lambda i: F.xxhash64(F.get(h, i - step), F.get(h, i))))
 
 
 def covered(h: Column, size: int = 8) -> Column:
@@ -59,7 +59,7 @@ def covered(h: Column, size: int = 8) -> Column:
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: list[Column] = ()) -> DataFrame:
-    """(row..., id, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
+    """(row..., id, one, two, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
     own = [c.alias(f"row{i}") for i, c in enumerate(row)]
     rows = [f"row{i}" for i in range(len(row))]
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -71,19 +71,20 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: l
     )
     d = d.select(
         *rows, "id", "words", long(F.size("words")).alias("n_words"), long(F.length(F.array_join("words", ""))).alias("word_chars"), "n_symbols",
-        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), windows(F.col("words")).alias("h"),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.transform("words", lambda x: F.xxhash64(x)).alias("one"),
     )
+    names = [*rows, "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "one"]
+    d = d.select(*names, paired(F.col("one"), 1).alias("two"))
+    d = d.select(*names, "two", paired(F.col("two"), 2).alias("h"))
+    d = d.select(*names, "two", paired(F.col("h"), 4).alias("h"))
     repeat = F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("bigint")).otherwise(covered(F.col("h")))
-    d = d.select(*rows, "id", "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"))
+    d = d.select(*names, "two", repeat.alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def grams(w: Column) -> Column:
-    """The buckets of a document's word unigrams and bigrams."""
-    n = F.size(w)
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    two = F.transform(_index(1, n - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i)), F.lit(BUCKETS)).cast("int"))
-    return F.when(n < 2, one).otherwise(F.concat(one, two))
+def bucket(h: Column) -> Column:
+    """The bucket of an n-gram's hash: its last bits, BUCKETS being a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -100,8 +101,9 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     and all weights are 0, so that nothing is rejected for want of a target.
     """
     good = F.broadcast(trusted_ids(labels, id_col)).withColumn("good", F.lit(1))
-    d = docs.select(docs[id_col].alias("id"), words(docs[text_col]).alias("words")).join(good, "id", "left")
-    g = d.select(F.explode(grams(F.col("words"))).alias("g"), F.coalesce("good", F.lit(0)).alias("good"))
+    d = docs.select(docs[id_col].alias("id"), F.transform(words(docs[text_col]), lambda x: F.xxhash64(x)).alias("one")).join(good, "id", "left")
+    h = F.explode(F.concat("one", paired(F.col("one"), 1)))
+    g = d.select(h.alias("h"), F.coalesce("good", F.lit(0)).alias("good")).select(bucket(F.col("h")).alias("g"), "good")
     counts = {r.g: (r.raw, r.target) for r in g.groupBy("g").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()}
     n_raw = sum(r for r, _ in counts.values())
     n_target = sum(t for _, t in counts.values())
@@ -138,9 +140,10 @@ def without_bad(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 def _judged(d: DataFrame, model: list[int]) -> DataFrame:
     """base()'s rows with llr and kept."""
     known = F.split(F.lit(",".join(map(str, model))), ",").cast("array<int>")
-    d = d.withColumn("g", grams(F.col("words")))
-    total = F.aggregate("g", F.lit(0).cast("bigint"), lambda acc, g: acc + F.get(known, g))
-    d = d.withColumn("llr", F.when(F.size("g") > 0, total / (F.size("g") * float(UNIT))))
+    zero = F.lit(0).cast("bigint")
+    total = sum(F.aggregate(h, zero, lambda acc, g: acc + F.get(known, bucket(g))) for h in ("one", "two"))
+    n = F.size("one") + F.size("two")
+    d = d.withColumn("llr", F.when(n > 0, total / (n * float(UNIT))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= THRESHOLD, F.lit(False))
     return d.withColumn("kept", kept)
 
