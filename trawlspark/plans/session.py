@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,12 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "trawlspark").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(path)
+
+
+def workspace(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder that all executors share; a temporary one where the session names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _local.setdefault("dir", tempfile.mkdtemp(prefix="trawlspark-"))
+    return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+_local: dict[str, str] = {}
