@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -59,6 +60,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STABLE = {"Project", "Filter", "Relation", "RelationV2", "LogicalRDD", "LocalRelation", "SubqueryAlias"}
+
+
+def numberable(df: DataFrame) -> DataFrame:
+    """df, or a written copy, whose rows monotonically_increasing_id() numbers alike in every plan.
+
+    That holds for rows straight from files; behind a shuffle the order may depend on the columns that
+    a plan needs.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {x.group(0) for x in (re.search(r"[A-Za-z]\w*", line) for line in plan.splitlines()) if x}
+    return df if nodes <= _STABLE else written(df, "numbered")
+
+
 def doc_fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of doc_id as text, modulo folds; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

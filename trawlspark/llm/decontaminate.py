@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, written
+from .common import map_lists, numberable, written
 
 WINDOW = 10
 #: The items' text in one automaton; more items make further passes of this size over the documents.
@@ -126,6 +126,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         parts.append((shared, make))
     schema = f"__row long, id {kind}, n_words long, spans array<struct<first:long,end:long,start_char:long,end_char:long>>, items array<string>"
+    docs = numberable(docs) if len(parts) > 1 else docs
     rows = docs.select(F.monotonically_increasing_id().alias("__row") if len(parts) > 1 else F.lit(0).cast("long").alias("__row"), docs[id_col], docs[text_col])
     scans = [map_lists(rows, make, schema) for _, make in parts]
     found = scans[0]

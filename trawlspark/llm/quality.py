@@ -130,7 +130,7 @@ def ruled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def without_bad(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that ruled() keeps."""
-    row = F.struct(*(docs[c] for c in docs.columns))
+    row = F.struct("*")
     d = _judged(base(docs, id_col, text_col, [row]), weights(docs, labels, id_col, text_col))
     # the row number keeps the optimizer from copying the whole computation of kept into a pushed-down filter
     d = d.select("row0", "kept", F.monotonically_increasing_id().alias("n"))

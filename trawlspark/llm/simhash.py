@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, written
+from .common import map_lists, numberable, written
 from .components import connected_components
 from .golay import key_table
 
@@ -194,12 +194,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs (a table as read from files) without near duplicates: of each component the row with the least id.
+    """The rows of docs without near duplicates: of each component the row with the least id.
 
     Among equal ids, or where all are null, the first row in file order stays.
     """
+    docs = numberable(docs)
     row = F.monotonically_increasing_id()
     ids = docs.select(F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row")).alias("at"), docs[text_col].alias("text"))
     found = near_duplicates(ids, "at", "text")
-    keep = found.groupBy("root").agg(F.min("at.row").alias("any"), F.min("at").alias("at")).select(F.col("at.row").alias("__row"))
-    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").drop("__row")
+    name = "row"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    keep = found.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias(name))
+    return docs.withColumn(name, row).join(keep, name, "left_semi").drop(name)

@@ -93,8 +93,8 @@ class Vectors:
 class BlockMaxIndex:
     """The examples' vectors as postings in blocks of BLOCK examples, with block maxima."""
 
-    def __init__(self, vectors: Vectors, examples: list[tuple[object, int, tuple]], prior: float):
-        self.vectors, self.prior = vectors, prior
+    def __init__(self, vectors: Vectors, examples: list[tuple[object, int, tuple]], prior: float, blank: float | None = None):
+        self.vectors, self.prior, self.blank = vectors, prior, prior if blank is None else blank
         held = [(i, y, c) for i, y, c in examples if c]
         held.sort(key=lambda e: (e[2], str(e[0])))  # alike examples share blocks
         self.ids = [e[0] for e in held]
@@ -107,7 +107,7 @@ class BlockMaxIndex:
                 terms[t].append((e, w))
         self.at = [np.array([e for e, _ in t], np.int64) for t in terms]
         self.w = [np.array([w for _, w in t]) for t in terms]
-        self.cut = np.array([np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a in self.at], np.int64).reshape(len(terms), -1)
+        self.cut = np.array([np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a in self.at], np.int64).reshape(len(terms), self.blocks + 1)
         self.top = np.zeros((len(terms), self.blocks))
         for t, (a, w) in enumerate(zip(self.at, self.w)):
             np.maximum.at(self.top[t], a // BLOCK, w)
@@ -140,7 +140,7 @@ class BlockMaxIndex:
         known = self.memo.get(counts)
         if known is None:
             near = self.nearest(counts)
-            votes, weight = self.prior * PRIOR_WEIGHT, PRIOR_WEIGHT
+            votes, weight = (self.prior if near else self.blank) * PRIOR_WEIGHT, PRIOR_WEIGHT
             for e, cosine in near:
                 votes, weight = votes + cosine * self.label[e], weight + cosine
             known = (votes / weight, [self.ids[e] for e, _ in near[:3]])
@@ -158,8 +158,8 @@ def _g(n: int, toxic: int, all_n: int, all_toxic: int) -> float:
     return 2 * (x(a) + x(b) + x(c) + x(d) - x(n) - x(c + d) - x(all_toxic) - x(b + d) + x(all_n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], list, float]:
-    """(idf by feature, examples, prior) from at most MAX_EXAMPLES labelled rows of docs.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[dict[str, float], list, float, float]:
+    """(idf by feature, examples, prior, the share of toxic ones among examples without a feature) from at most MAX_EXAMPLES labelled rows of docs.
 
     Held-out rows (fold 0 of doc_fold) teach nothing. Repeated labels of an id count as its largest,
     repeated rows as one; null ids, labels and texts teach nothing. The driver gets the vocabulary, at
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     all_n, all_toxic = sample.agg(F.count("*"), F.sum("y")).first()
     if not all_n or not all_toxic:
-        return {}, [], 0.0
+        return {}, [], 0.0, 0.0
     rows = sample.select("text", "y").mapInArrow(count, "f string, n long, toxic long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     rows = rows.where((F.col("n") >= MIN_EXAMPLES) & (F.col("toxic") * all_n > F.col("n") * all_toxic))
     x = lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0)
@@ -204,7 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kind = dict(docs.dtypes)[id_col]
     found = map_lists(sample.select("id", "text", "y"), make, f"id {kind}, y int, c array<int>").where(F.size("c") > 0).collect()
     examples = [(r.id, r.y, tuple(zip(r.c[::2], r.c[1::2]))) for r in found]
-    return idf, examples, all_toxic / all_n
+    prior = all_toxic / all_n
+    blank = (all_toxic - sum(y for _, y, _ in examples) + prior) / (all_n - len(examples) + 1)
+    return idf, examples, prior, blank
 
 
 def _shared(docs: DataFrame, model) -> object:
@@ -215,15 +217,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id, held_out, score, predicted, evidence) of each row; evidence: ids of the nearest examples.
 
     Every row comes back, equal rows with equal scores. A null text is empty; a text without a
-    feature of the vocabulary has the labels' prior as its score and no evidence. Without toxic
+    feature of the vocabulary has the share of toxic ones among such examples as its score and no evidence. Without toxic
     labels to learn from every score is 0. Other columns aren't read.
     """
     model = _shared(docs, fit(docs, labels, id_col, text_col, label_col))
     kind = dict(docs.dtypes)[id_col]
 
     def make():
-        idf, examples, prior = model.value
-        index = BlockMaxIndex(Vectors(idf), examples, prior)
+        idf, *rest = model.value
+        index = BlockMaxIndex(Vectors(idf), *rest)
 
         def f(ids, held, texts):
             out = [index.score(index.vectors.counts(t)) for t in texts]
@@ -241,8 +243,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     place = docs.columns.index(text_col)
 
     def run(batches):
-        idf, examples, prior = model.value
-        index = BlockMaxIndex(Vectors(idf), examples, prior)
+        idf, *rest = model.value
+        index = BlockMaxIndex(Vectors(idf), *rest)
         for b in batches:
             keep = [index.score(index.vectors.counts(t))[0] < 0.5 for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import fresh_path, local_path, written
+from .common import fresh_path, local_path, numberable, written
 
 #: Of the skippable frame in front of an archive, which holds the dictionary.
 MAGIC = 0x184D2A5D
@@ -69,7 +69,7 @@ def build_dictionary(records: list[bytes]) -> bytes:
             return zstandard.train_dictionary(DICT_BYTES, records, k=1024, d=8).as_bytes()
         except zstandard.ZstdError:
             pass
-    return b"".join(records)[-DICT_BYTES:]
+    return b"".join(records)[-DICT_BYTES:] or b"WARC/1.1\r\nWARC-Type: response\r\n"
 
 
 def write_archive(path: str, records: Iterator[bytes], dictionary: bytes) -> int:
@@ -142,6 +142,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     The shared folder must be mounted on every executor.
     """
     spark = pages.sparkSession
+    pages = numberable(pages)
     row = F.monotonically_increasing_id().alias("row")
     again = revisits(pages, id_col, html_col, least_bytes)
     if again.count() <= BROADCAST_ROWS:
