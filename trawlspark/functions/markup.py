@@ -151,7 +151,7 @@ class Machine:
             yield 0, len(raw)
             return
         at = 0
-        for m in re.finditer(rf"(?i)<{re.escape(self.s.end)}[^<>]{{0,900}}>", raw):
+        for m in re.finditer(rf"(?i)<{re.escape(self.s.end)}(?:\s[^<>]{{0,900}})?>", raw):
             yield at, m.end()
             at = m.end()
         if raw[at:].strip():
