@@ -31,7 +31,7 @@ from .common import doc_fold, fresh_path, local_path, written
 from .suffix import Shard, gram_keys
 
 #: Tokens of one suffix array, and of one file of the token store.
-SHARD_TOKENS, UNIT_TOKENS = 6_000_000, 3_000_000
+SHARD_TOKENS, UNIT_TOKENS = 4_000_000, 3_000_000
 STRENGTH = 100.0
 #: The end token's hash; no word has a space.
 END = xxhash.xxh64_intdigest(b" end", 42)
@@ -69,8 +69,9 @@ class _Store:
         unit = uuid.uuid4().hex
         save(f"{self.folder}/{unit}.tokens", np.concatenate([train, held]))
         lengths = [len(h) for h in self.texts[1]]
-        at, room = starts_of(lengths)
-        at, room = at[room >= 2], room[room >= 2]
+        first = [first_of(x) for x in self.texts]
+        save(f"{self.folder}/{unit}.first", np.concatenate([first[0], first[1] + len(first[0])]).astype(np.int32))
+        at, room = queries_of(np.array(lengths, np.int64), first[1])
         save(f"{self.folder}/{unit}.order", np.argsort(gram_keys(held, at, 2)).astype(np.int32) if len(at) else none.astype(np.int32))
         words, counts = np.unique(train, return_counts=True)
         row = (unit, self.ids[0] + self.ids[1], [len(h) for h in self.texts[0]] + lengths, len(train), len(self.texts[0]))
@@ -96,6 +97,19 @@ def starts_of(lengths) -> tuple[np.ndarray, np.ndarray]:
     return at, ends - at
 
 
+def first_of(texts: list[np.ndarray]) -> np.ndarray:
+    """For each text the first of those equal to it."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(h.tobytes(), i) for i, h in enumerate(texts)], np.int64)
+
+
+def queries_of(lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """starts_of() without texts that an equal one precedes and without last tokens."""
+    at, room = starts_of(lengths)
+    use = (room >= 2) & np.repeat(first == np.arange(len(first)), lengths)
+    return at[use], room[use]
+
+
 class Vocabulary:
     """Counts of training tokens from the sorted files that vocabulary() wrote."""
 
@@ -187,19 +201,34 @@ def _search(folder: str, units_path: str):
                     unit, n_train, texts = (units.column(c)[i].as_py() for c in ("unit", "n_train", "train_texts"))
                     lengths = units.column("lengths")[i].values.to_numpy()
                     found = unit_drops(shard, folder, unit, lengths, n_train, texts)
-                    blob = squeeze.compress(np.stack(found).astype(np.int32).tobytes())
+                    blob = squeeze.compress(packed(*found))
                     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([unit]), pa.array([blob], pa.binary())], names=["kind", "unit", "blob"])
 
     return run
 
 
+def packed(at: np.ndarray, length: np.ndarray, n: np.ndarray) -> bytes:
+    """drops() in order of places, which are written as steps; each byte of the numbers in a row of its own, so that it compresses."""
+    by = np.lexsort((length, at))
+    rows = np.stack([np.diff(at[by], prepend=0), length[by], n[by]]).astype("<i4")
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """What packed() wrote: places, lengths and counts."""
+    rows = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)).view("<i4").reshape(3, -1).astype(np.int64)
+    rows[0] = np.cumsum(rows[0])
+    return rows
+
+
 def unit_drops(shard: Shard, folder: str, unit: str, lengths: np.ndarray, n_train: int, texts: int) -> tuple:
-    """drops() of a unit's texts; places count the tokens of the unit's file."""
+    """drops() of a unit's distinct texts; places count the tokens of the unit's file."""
     t = np.array(mapped(f"{folder}/{unit}.tokens", np.int64))
-    heads = np.cumsum(lengths[:texts]) - lengths[:texts]
-    who, length, n = shard.drops(t, heads, lengths[:texts])
-    at, room = starts_of(lengths[texts:])
-    at, room = at[room >= 2], room[room >= 2]
+    first = np.array(mapped(f"{folder}/{unit}.first", np.int32), np.int64)
+    own = np.flatnonzero(first[:texts] == np.arange(texts))
+    heads = (np.cumsum(lengths[:texts]) - lengths[:texts])[own]
+    who, length, n = shard.drops(t, heads, lengths[:texts][own])
+    at, room = queries_of(lengths[texts:], first[texts:] - texts)
     order = np.array(mapped(f"{folder}/{unit}.order", np.int32), np.int64)
     who2, length2, n2 = shard.drops(t[n_train:], at, room, order)
     return np.concatenate([heads[who], at[who2] + n_train]), np.concatenate([length, length2]), np.concatenate([n, n2])
@@ -304,7 +333,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
             words, back = np.unique(t, return_inverse=True)
             total, distinct = (vocabulary.total, vocabulary.distinct) if vocabulary else (0, 0)
             count = vocabulary.count(words)[back.ravel()] if vocabulary else np.zeros(len(t), np.int64)
-            known, base, score = score_unit(t, lengths, texts, Drops(parts), count, total, distinct)
+            first = mapped(f"{folder}/{unit}.first", np.int32)
+            known, base, score = (x[first] for x in score_unit(t, lengths, texts, Drops(parts), count, total, distinct))
             held = np.arange(len(lengths)) >= texts
             for s in range(0, len(lengths), 10_000):
                 e = min(s + 10_000, len(lengths))
@@ -318,7 +348,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                     now = b.column(1)[i].as_py(), b.column(3)[i].values, b.column(4)[i].values.to_numpy(), b.column(5)[i].as_py()
                     parts = []
                 else:
-                    parts.append(np.frombuffer(expand.decompress(b.column(2)[i].as_py()), np.int32).reshape(3, -1))
+                    parts.append(unpacked(expand.decompress(b.column(2)[i].as_py())))
                     if sum(p.shape[1] for p in parts[1:]) > 4 << 20:  # fold many shards into one
                         parts = [Drops(parts).packed()]
         if now:

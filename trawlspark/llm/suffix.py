@@ -8,38 +8,48 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Prefixes of 2, 3 and 4 tokens are looked up in tables of their hashes; longer ones by binary search.
 TABLES = (2, 3, 4)
 _CELLS = 1 << 21
+#: Up to so many suffixes are compared with a query one by one; after some rounds of narrowing (a run
+#: of one word loses few suffixes at each length) up to more.
+_FEW, _ROUNDS, _MANY = 256, 16, 1 << 16
 
 
 def gram_keys(t: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of the n tokens from each place; n more tokens must follow each."""
-    k = t[at].view(np.uint64)
-    for i in range(1, n):
-        k = k * _MIX + t[at + i].view(np.uint64)
-    return k ^ (k >> np.uint64(29))
+    """A 64-bit hash of the n tokens from each place, all of which must be there."""
+    out = np.empty(len(at), np.uint64)
+    for s in range(0, len(at), 1 << 18):  # in parts, for the memory
+        part = at[s : s + (1 << 18)].astype(np.int64)
+        k = t[part].view(np.uint64)
+        for i in range(1, n):
+            k = k * _MIX + t[part + i].view(np.uint64)
+        out[s : s + (1 << 18)] = k ^ (k >> np.uint64(29))
+    return out
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Places of t ordered by what follows; prefix doubling over the groups that are still tied."""
+    """Places of t (INT32) ordered by what follows; prefix doubling over the groups that are still tied."""
     n = len(t)
     if n == 0:
         return np.zeros(0, np.int64)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64).ravel()
-    nxt = np.zeros(n, np.int64)
-    nxt[:-1] = rank[1:] + 1
-    key = rank << 32 | nxt
-    sa = np.argsort(key)
+    by = np.argsort(t).astype(np.int32)
+    sorted_ = t[by]
+    key = np.empty(n, np.int64)
+    key[by] = np.cumsum(np.concatenate([[False], sorted_[1:] != sorted_[:-1]]))
+    del by, sorted_
+    key <<= 32
+    key[:-1] |= (key[1:] >> 32) + 1
+    sa = np.argsort(key).astype(np.int32)
     key = key[sa]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    del key, nxt
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = group
+    del key
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
     h = 2
     tied = np.flatnonzero(~(new & np.append(new[1:], True)))
-    del new, group
+    del new
     while len(tied):
-        sub = sa[tied]
+        sub = sa[tied].astype(np.int64)
         far = sub + h
-        key = np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0) | rank[sub] << 32
+        key = np.where(far < n, rank[np.minimum(far, n - 1)].astype(np.int64) + 1, 0) | rank[sub].astype(np.int64) << 32
         order = np.argsort(key, kind="stable")
         sub, key = sub[order], key[order]
         sa[tied] = sub
@@ -50,8 +60,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return sa
 
 
-def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of a from each i and b from each j, most at the most.
+def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
+    """Length of the common prefix of a from each i and b from each j, most at the most; known tokens are known to agree.
 
     Pairs that run along one diagonal share their end, so only the last of such a run is compared.
     """
@@ -62,8 +72,9 @@ def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.
     i, j, most = i[order], j[order], most[order]
     run = np.append((np.diff(i) == 1) & (np.diff(j) == 1) & (a[i[:-1]] == b[j[:-1]]), False)
     last = np.flatnonzero(~run)
-    length = np.zeros(len(last), np.int64)
-    open_, chunk = np.arange(len(last)), 8
+    known = np.minimum(np.broadcast_to(known, len(order))[order], most)
+    length = known[last].astype(np.int64)
+    open_, chunk = np.flatnonzero(length < most[last]), 8
     while len(open_):
         still = []
         for s in range(0, len(open_), max(1, _CELLS // chunk)):
@@ -76,9 +87,26 @@ def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.
             same &= step < left[:, None]
             whole = same.all(1)
             length[o] += np.where(whole, chunk, np.argmin(same, 1))
-            still.append(o[whole & (length[o] < most[k])])
+            still.append(o[whole & (length[o] < most[k])])  # most never reaches beyond either end
         open_ = np.concatenate(still)
-        chunk = min(chunk * 4, 4096)
+        chunk *= 4
+        if chunk > 64:
+            break
+    # few pairs share more: these are compared slice by slice
+    for o in open_.tolist():
+        k = last[o]
+        x, y, n, size = int(i[k]), int(j[k]), int(length[o]), 256
+        stop = int(most[k])
+        while n < stop:
+            end = min(n + size, stop)
+            differ = a[x + n : x + end] != b[y + n : y + end]
+            at = int(differ.argmax())
+            if differ[at]:
+                n += at
+                break
+            n += len(differ)
+            size *= 2
+        length[o] = n
     # the end of each run, carried back to its members
     ends = np.searchsorted(last, np.arange(len(i)))
     out = np.minimum(length[ends] + (last[ends] - np.arange(len(i))), most)
@@ -99,13 +127,14 @@ class Shard:
         """(sorted keys of all n-grams, their first and end places in the suffix array)."""
         known = self._tables.get(n)
         if known is None:
-            place = np.flatnonzero(self.sa <= len(self.t) - n)
+            place = np.flatnonzero(self.sa <= len(self.t) - n).astype(np.int32)
             k = gram_keys(self.t, self.sa[place], n)
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])).astype(np.int32) if len(k) else np.zeros(0, np.int32)
             end = np.append(first[1:], len(k)) if len(k) else first
-            order = np.argsort(k[first])
+            k = k[first]
+            order = np.argsort(k).astype(np.int32)
             # a suffix too short for the n-gram sorts before those with it, never among them
-            known = k[first][order], place[first][order].astype(np.int32), (place[end[order] - 1] + 1).astype(np.int32)
+            known = k[order], place[first[order]], place[end[order] - 1] + 1
             self._tables[n] = known
         return known
 
@@ -123,7 +152,8 @@ class Shard:
         """(place in at, length, n): n suffixes share exactly the first `length` tokens, two or more, with q from at.
 
         room: how many tokens of q count from there. So a prefix of m tokens occurs as often as the n
-        of all lengths from m on add up to. order: at by their first two tokens' keys, if known.
+        of all lengths from m on add up to. order: at, which are all the places of some texts, by their
+        first two tokens' keys; then what _advancing() says can't matter is left out.
         """
         who = np.flatnonzero(room >= 2) if order is None else order
         out: list[tuple] = []
@@ -148,32 +178,130 @@ class Shard:
             keep = hi > lo
             who, lo, hi = who[keep], lo[keep], hi[keep]
             count = hi - lo
-        depth = TABLES[-1]
-        while len(who):
-            with_first = common(self.t, self.sa[lo], q, at[who], room[who])
-            many = hi - lo > 1
-            shared = with_first.copy()
-            if many.any():
-                shared[many] = common(self.t, self.sa[lo[many]], self.t, self.sa[hi[many] - 1], room[who[many]])
-            done = ~many | (with_first < shared) | (shared >= room[who])
-            out.append((who[done], np.minimum(with_first, room[who])[done], (hi - lo)[done]))
-            go = ~done
-            who, lo, hi, d = who[go], lo[go], hi[go], shared[go]
-            # here q has at least the range's common prefix: narrow by the token behind it
-            want = q[at[who] + d]
-            first = self._bound(lo, hi, d, want, False)
-            end = self._bound(first, hi, d, want, True)
-            less = (hi - lo) - (end - first)
-            some = less > 0
-            out.append((who[some], d[some], less[some]))
-            keep = end > first
-            who, lo, hi = who[keep], first[keep], end[keep]
-        del depth
+        if order is not None and len(who):
+            by = np.argsort(at[who])
+            who, lo, hi = who[by], lo[by], hi[by]
+            keep, least = self._advancing(q, at[who], room[who], lo, hi)
+            who, lo, hi = who[keep], lo[keep], hi[keep]
+        else:
+            least = np.zeros(len(who), np.int64)
+        for i, length, n in self._spread(q, at[who], room[who], lo, hi, least):
+            use = length > least[i]
+            out.append((who[i[use]], length[use], n[use]))
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z
         return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out))
 
+    def _place(self, x) -> np.ndarray:
+        return self.sa[x].astype(np.int64)
+
+    def _longest(self, q, at, room, lo, hi) -> np.ndarray:
+        """The longest match of q from each place among the suffixes lo to hi: binary search for where q belongs, whose neighbours are the nearest."""
+        longest, lo, hi = np.zeros(len(at), np.int64), lo.copy(), hi.copy()
+        i = np.arange(len(at))
+        while len(i):
+            mid = (lo[i] + hi[i]) >> 1
+            p = self._place(mid)
+            length = common(self.t, p, q, at[i], room[i], TABLES[-1])
+            longest[i] = np.maximum(longest[i], length)
+            whole = length >= room[i]
+            less = self._less(p + length, q, at[i], np.minimum(length, room[i] - 1))
+            lo[i] = np.where(less, mid + 1, lo[i])
+            hi[i] = np.where(less, hi[i], mid)
+            i = i[~whole & (lo[i] < hi[i])]
+        return longest
+
+    def _less(self, p, q, at, length) -> np.ndarray:
+        """Whether the token at p, nothing at the end, sorts before q's behind `length` tokens."""
+        n = len(self.t)
+        return (p >= n) | (self.t[np.minimum(p, n - 1)] < q[at + length])
+
+    def _prefix(self, q, at, m, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+        """The part of the suffixes lo to hi that shares q's first m tokens from each place."""
+        ends = []
+        for above in (False, True):
+            a, b = lo.copy() if not above else ends[0].copy(), hi.copy()
+            i = np.flatnonzero(a < b)
+            while len(i):
+                mid = (a[i] + b[i]) >> 1
+                p = self._place(mid)
+                length = common(self.t, p, q, at[i], m[i], TABLES[-1])
+                same = length >= m[i]
+                less = (same & above) | (~same & self._less(p + length, q, at[i], np.minimum(length, m[i] - 1)))
+                a[i] = np.where(less, mid + 1, a[i])
+                b[i] = np.where(less, b[i], mid)
+                i = i[a[i] < b[i]]
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def _spread(self, q, at, room, lo, hi, least) -> list[tuple]:
+        """[(i, length, n)]: n of the suffixes lo to hi share just so many tokens with q from place i; lengths up to least may lack."""
+        out, i = [], np.arange(len(at))
+        deep = np.flatnonzero(least > TABLES[-1])
+        lo, hi = lo.copy(), hi.copy()
+        lo[deep], hi[deep] = self._prefix(q, at[deep], least[deep] + 1, lo[deep], hi[deep])
+        rounds, known = 0, np.where(least > TABLES[-1], least + 1, TABLES[-1])
+        while len(i):
+            # all of a range share some prefix; what leaves q there is counted, the rest goes on
+            first = common(self.t, self._place(lo), q, at[i], room[i], known)
+            shared, many = first.copy(), hi - lo > 1
+            shared[many] = common(self.t, self._place(lo[many]), self.t, self._place(hi[many] - 1), room[i[many]], known[many])
+            done = ~many | (first < shared) | (shared >= room[i])
+            out.append((i[done], first[done], (hi - lo)[done]))
+            i, lo, hi, d = i[~done], lo[~done], hi[~done], shared[~done]
+            rounds += 1
+            size = hi - lo
+            small = size <= (_FEW if rounds < _ROUNDS else _MANY)
+            few = np.flatnonzero(small)
+            part = np.cumsum(size[few]) // _MANY
+            for f in np.split(few, np.flatnonzero(np.diff(part)) + 1) if len(few) else []:
+                n = size[f]
+                who = np.repeat(i[f], n)
+                j = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[f], n)
+                length = common(self.t, self._place(j), q, at[who], room[who], np.repeat(d[f], n))
+                key, count = np.unique(who << 32 | length, return_counts=True)
+                out.append((key >> 32, key & 0xFFFFFFFF, count))
+            i, lo, hi, d = i[~small], lo[~small], hi[~small], d[~small]
+            want = q[at[i] + d]
+            start = self._bound(lo, hi, d, want, False)
+            end = self._bound(start, hi, d, want, True)
+            less = (hi - lo) - (end - start)
+            out.append((i[less > 0], d[less > 0], less[less > 0]))
+            keep = end > start
+            i, lo, hi, known = i[keep], start[keep], end[keep], d[keep] + 1
+        return out
+
+    def _advancing(self, q, at, room, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+        """(which, least): the places whose longest match ends behind that of the place before, and how long a match ending there is.
+
+        Ends of longest matches never go back from one place to the next, so where both ends of a run
+        of places have the same, those between have it too: only where they differ is a run halved.
+        A token's longest context starts at an advancing place, and no shorter match from there counts.
+        """
+        n = len(at)
+        head = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(room) != -1)])
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], n) - 1
+        end = np.full(n, -1, np.int64)
+
+        def know(i) -> None:
+            i = np.unique(i)
+            i = i[end[i] < 0]
+            end[i] = at[i] + self._longest(q, at[i], room[i], lo[i], hi[i])
+
+        know(np.concatenate([first, last]))
+        while len(first):
+            wide = (last - first > 1) & (end[first] != end[last])
+            first, last = first[wide], last[wide]
+            mid = (first + last) >> 1
+            know(mid)
+            first, last = np.concatenate([first, mid]), np.concatenate([mid, last])
+        end = np.maximum.accumulate(end)
+        before = np.concatenate([[0], end[:-1]])
+        which = np.flatnonzero(head | (end > before))
+        return which, np.where(head, 0, before - at)[which]
+
     def _bound(self, lo, hi, d, want, above: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
         n = len(self.t)
@@ -182,7 +310,7 @@ class Shard:
             if not len(open_):
                 return lo
             mid = (lo[open_] + hi[open_]) >> 1
-            p = self.sa[mid] + d[open_]
+            p = self._place(mid) + d[open_]
             have = self.t[np.minimum(p, n - 1)]
             less = (p >= n) | ((have <= want[open_]) if above else (have < want[open_]))
             lo[open_[less]] = mid[less] + 1
