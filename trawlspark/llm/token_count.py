@@ -33,7 +33,9 @@ class PrefixCounter:
         self.score = {m.id_to_piece(i): m.get_score(i) for i in usable}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece crosses a word mark; units aren't independent")
-        self.longest = max(map(len, self.score))
+        # only pieces that the merges of their own characters lead to ever occur
+        self.cost = {p for p in self.score if len(p) == 1 or self.merge(p) == [p]}
+        self.begins = {p[:n] for p in self.cost for n in range(1, len(p) + 1)}
         self.units: dict[str, list[int]] = {}
         self.totals: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -41,15 +43,19 @@ class PrefixCounter:
     def merge(self, text: str) -> list[str]:
         """The pieces of a short string: again and again the best pair, the first of equals."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+        never = float("-inf")
+        gain = [score.get(x + y, never) for x, y in zip(parts, parts[1:])]
+        while gain:
+            best = max(gain)
+            if best == never:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = gain.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gain[i]
+            if i:
+                gain[i - 1] = score.get(parts[i - 1] + parts[i], never)
+            if i < len(gain):
+                gain[i] = score.get(parts[i] + parts[i + 1], never)
         return parts
 
     def fits(self, a: str, b: str) -> bool:
@@ -73,24 +79,36 @@ class PrefixCounter:
         return known
 
     def _unit(self, u: str) -> list[int]:
-        score, fits, n = self.score, self.fits, len(u)
+        cost, begins, pairs, n = self.cost, self.begins, self.pairs, len(u)
         last, count = [""] * (n + 1), [0] * (n + 1)
+        starts: list[list[int]] = [[] for _ in range(n + 1)]  # of pieces that end at each place, longest first
+        for i in range(n):
+            j = i + 1
+            piece = u[i:j]
+            while piece in begins:
+                if piece in cost:
+                    starts[j].append(i)
+                j += 1
+                if j > n:
+                    break
+                piece = u[i:j]
         for j in range(1, n + 1):
-            for i in range(max(0, j - self.longest), j):
+            for i in starts[j]:
                 piece = u[i:j]
-                if (piece in score or j - i == 1) and (i == 0 or fits(last[i], piece)) and (len(piece) == 1 or self._whole(piece)):
-                    last[j], count[j] = piece, count[i] + (1 if piece in score else len(piece.encode()))
-                    break
+                if i:
+                    k = last[i], piece
+                    ok = pairs.get(k)
+                    if ok is None:
+                        ok = self.fits(*k)
+                    if not ok:
+                        continue
+                last[j], count[j] = piece, count[i] + 1
+                break
+            else:  # no piece: the character's bytes
+                piece = u[j - 1]
+                last[j], count[j] = piece, count[j - 1] + len(piece.encode())
         return count[1:]
 
-    def _whole(self, piece: str) -> bool:
-        """Whether the merges of a piece's own characters lead to it."""
-        k = (piece, "")
-        known = self.pairs.get(k)
-        if known is None:
-            known = self.pairs[k] = self.merge(piece) == [piece]
-        return known
-
     def _marked(self, text: str) -> str:
         return MARK + text.replace(" ", MARK)
 
