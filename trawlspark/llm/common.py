@@ -97,6 +97,12 @@ def map_lists(df: DataFrame, make: Callable[[], Callable[..., Iterable]], schema
     return df.mapInArrow(run, schema)
 
 
+def filtered(df: DataFrame, run: Callable) -> DataFrame:
+    """df.mapInArrow(run) for a run that only drops rows, whatever the columns' names are."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

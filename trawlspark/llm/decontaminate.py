@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, numberable, written
+from .common import filtered, map_lists, numberable, written
 
 WINDOW = 10
 #: The items' text in one automaton; more items make further passes of this size over the documents.
@@ -143,7 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, that hold no window of an item."""
-    place, schema = docs.columns.index(text_col), docs.schema
+    place = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -152,7 +152,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 yield b.filter(pa.array([not scanner.scan(t)[1] for t in b.column(place).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = filtered(docs, run)
     return docs
 
 

@@ -132,9 +132,7 @@ def without_bad(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """The rows of docs, all columns, that ruled() keeps."""
     row = F.struct("*")
     d = _judged(base(docs, id_col, text_col, [row]), weights(docs, labels, id_col, text_col))
-    # the row number keeps the optimizer from copying the whole computation of kept into a pushed-down filter
-    d = d.select("row0", "kept", F.monotonically_increasing_id().alias("n"))
-    return d.where(F.col("kept") & (F.col("n") >= 0)).select("row0.*")
+    return d.where("kept").select(*(F.col("row0").getField(c).alias(c) for c in docs.columns))
 
 
 def _judged(d: DataFrame, model: list[int]) -> DataFrame:
@@ -145,7 +143,8 @@ def _judged(d: DataFrame, model: list[int]) -> DataFrame:
     n = F.size("one") + F.size("two")
     d = d.withColumn("llr", F.when(n > 0, total / (n * float(UNIT))))
     kept = ~F.col("base_failed") & F.coalesce(F.col("llr") >= THRESHOLD, F.lit(False))
-    return d.withColumn("kept", kept)
+    # the row number keeps the optimizer from copying the whole computation of kept into a filter on it
+    return d.withColumn("kept", kept & (F.monotonically_increasing_id() >= 0))
 
 
 def base_sql(table: str = "documents") -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_fold, map_lists, written
+from .common import doc_fold, filtered, map_lists, written
 
 #: At most so many labelled documents are examples: those whose ids' hashes are the least.
 MAX_EXAMPLES = 20_000
@@ -249,4 +249,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             keep = [index.score(index.vectors.counts(t))[0] < 0.5 for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return filtered(docs, run)
