@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import map_lists, numberable, written
 from .components import connected_components
 from .golay import key_table
@@ -174,36 +175,59 @@ def links(fps: DataFrame) -> DataFrame:
     return found.where("kind = 0").union(more).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of documents linked by fingerprints that differ in at most three bits.
+def _components(at: DataFrame, key: str, edges) -> DataFrame:
+    """(id, key, root, component_id) of each row of at(id, key); edges: a function of the nodes."""
+    nodes = at.groupBy(key).agg(F.min("id").alias("least"))
+    roots = connected_components(edges(nodes)).withColumnsRenamed({"node": key})
+    named = nodes.join(roots, key, "left").withColumn("root", F.coalesce("root", key))
+    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = named.select(key, "root").join(whole, "root")
+    return at.join(known, key).select("id", key, "root", "component_id")
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, root, component_id): components of near copies, see near_copies."""
+    sets = written(near_copies.shingle_sets(docs, id_col, text_col), "shingles")
+    return _components(sets.select("id", "node"), "node", lambda _: near_copies.links(sets))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "shingles") -> DataFrame:
+    """Components of near duplicates: of near copies, or of fingerprints that differ in at most three bits.
+
+    by: "shingles" links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, all of them; "fingerprints" (the contract of op2) those within MAX_BITS.
 
     Returns for each row of docs: the id column (its name and type), fp LONG, root LONG (the least
-    fingerprint of the component as signed) and component_id, the least id in the component. Nulls:
-    a null text has fingerprint 0, linked as any other; a null id is never a component_id unless
-    the component has no other. Repeated rows come back as often as they came. Equal fingerprints
-    are one node, so a group of copies is one row from the first aggregation on. Other columns,
-    whatever their names, aren't read. An empty table gives an empty result.
+    fingerprint of the component as signed, or the least name of its shingle sets) and component_id, the
+    least id in the component. Nulls: a null text has fingerprint 0 and no shingles, linked as any other;
+    a null id is never a component_id unless the component has no other. Repeated rows come back as often
+    as they came. Equal fingerprints or sets are one node, so a group of copies is one row from the first
+    aggregation on. Other columns, whatever their names, aren't read. An empty table gives an empty result.
     """
-    at = written(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = at.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(nodes)).withColumnsRenamed({"node": "fp"})
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "root").join(whole, "root")
-    return at.join(known, "fp").select(F.col("id").alias(id_col), "fp", "root", "component_id")
+    if by not in ("shingles", "fingerprints"):
+        raise ValueError(f"by: {by}")
+    if by == "fingerprints":
+        at = written(fingerprints(docs, id_col, text_col), "simhash")
+        return _components(at, "fp", links).withColumnsRenamed({"id": id_col})
+    docs = numberable(docs)
+    row = F.monotonically_increasing_id()
+    ids = docs.select(F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row")).alias("at"), docs[text_col].alias("text"))
+    fps = fingerprints(ids, "at", "text").select(F.col("id.row").alias("row"), "fp")
+    found = _near_copies(ids, "at", "text").withColumn("row", F.col("id.row")).join(fps, "row")
+    return found.select(F.col("id.i").alias(id_col), "fp", "root", F.col("component_id.i").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the least id.
+    """The rows of docs without near copies (five-word shingles, Jaccard 0.8): of each component the row with the least id.
 
     Among equal ids, or where all are null, the first row in file order stays.
     """
     docs = numberable(docs)
     row = F.monotonically_increasing_id()
     ids = docs.select(F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row")).alias("at"), docs[text_col].alias("text"))
-    found = near_duplicates(ids, "at", "text")
+    found = _near_copies(ids, "at", "text")
     name = "row"
     while name in (c.lower() for c in docs.columns):
         name += "_"
-    keep = found.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias(name))
+    keep = found.groupBy("root").agg(F.min("id").alias("at")).select(F.col("at.row").alias(name))
     return docs.withColumn(name, row).join(keep, name, "left_semi").drop(name)
