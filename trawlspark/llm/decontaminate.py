@@ -71,7 +71,7 @@ class Scanner:
                 merged[-1][1] = max(e, merged[-1][1])
             else:
                 merged.append([s, e])
-        return len(words), [tuple(x) for x in merged], items
+        return len(words), [tuple(x) for x in merged], items - {None}
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,7 +90,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tup
     """The items in blocks of a bounded size, read one after another."""
     blocks, now, used = [], [], 0
     for item, text in benchmark.select(benchmark[item_col], benchmark[text_col]).toLocalIterator():
-        if item is None or not text:
+        if not text:
             continue
         if now and used + len(text) > MAX_AUTOMATON_BYTES:
             blocks.append(now)
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """For each row of docs: its id, n_words, spans (of hit words: first and end, and the characters they cover) and items.
 
     A window is `size` consecutive words of an item, or all its words if fewer. Null and wordless
-    texts and items have no windows; items with a null id are left out; equal rows come back as often as they came. Extra
+    texts and items have no windows; items with a null id count for spans but aren't named in items; equal rows come back as often as they came. Extra
     columns aren't read. The items are a query set: they go in blocks of at most MAX_AUTOMATON_BYTES,
     and each block scans all documents once, so what a task holds is bounded whatever their number.
     """
