@@ -33,16 +33,23 @@ def near_texts(rng):
     return out
 
 
-@pytest.mark.parametrize("least, broadcast", [(8, 200_000), (2, 0)])
-def test_all_pairs_and_no_other_are_linked(spark, monkeypatch, least, broadcast):
+@pytest.mark.parametrize("least, broadcast, small", [(8, 200_000, 256), (2, 0, 2)])
+def test_links_are_near_copies_and_connect_all_of_them(spark, monkeypatch, least, broadcast, small):
     monkeypatch.setattr(near_copies, "LEAST", least)
     monkeypatch.setattr(near_copies, "BROADCAST", broadcast)
-    texts = near_texts(random.Random(4))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = written(near_copies.shingle_sets(docs, "doc_id", "text"), "test")
-    node = {r.node: frozenset(grams(texts[r.id])) for r in sets.collect()}
-    want = {tuple(sorted(p)) for p in combinations(node, 2) if near(node[p[0]], node[p[1]])}
-    assert sorted((r.a, r.b) for r in near_copies.links(sets).collect()) == sorted(want) and len(want) > 20
+    monkeypatch.setattr(near_copies, "_SMALL", small)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(200)]
+    star = [" ".join(f"s{k}" if rng.random() < 0.02 else w for k, w in enumerate(base, 1000 * i)) for i in range(40)]
+    texts = near_texts(rng) + star + [" ".join(base)] + star[:5] + ["", None]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "id long, row long, text string")
+    named = written(near_copies.nodes(rows), "test")
+    node = {r.node: frozenset(grams(texts[r.id])) for r in named.collect()}
+    assert all(r.n == len(grams(texts[r.id])) for r in named.collect()) and len(node) == len({frozenset(grams(t)) for t in texts})
+    want = [p for p in combinations(node, 2) if near(node[p[0]], node[p[1]])]
+    got = [(r.a, r.b) for r in near_copies.links(rows, named).collect()]
+    assert all(near(node[a], node[b]) for a, b in got)
+    assert roots(sorted(node), got) == roots(sorted(node), want) and len(want) > 60
 
 
 def test_the_stage_leaves_one_of_each_near_copy(spark):

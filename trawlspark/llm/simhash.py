@@ -185,10 +185,18 @@ def _components(at: DataFrame, key: str, edges) -> DataFrame:
     return at.join(known, key).select("id", key, "root", "component_id")
 
 
-def _near_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, root, component_id): components of near copies, see near_copies."""
-    sets = written(near_copies.shingle_sets(docs, id_col, text_col), "shingles")
-    return _components(sets.select("id", "node"), "node", lambda _: near_copies.links(sets))
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """docs, whose rows are numbered alike in every plan, and (id, row, text): id sorts nulls last and ties by row."""
+    docs = numberable(docs)
+    row = F.monotonically_increasing_id()
+    at = F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row"))
+    return docs, docs.select(at.alias("id"), row.alias("row"), docs[text_col].alias("text"))
+
+
+def _near_copies(rows: DataFrame) -> DataFrame:
+    """rows(id, row, text) -> (id, node, root, component_id): components of near copies, see near_copies."""
+    named = written(near_copies.nodes(rows), "near-nodes")
+    return _components(named.select("id", "node"), "node", lambda _: near_copies.links(rows, named))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "shingles") -> DataFrame:
@@ -209,11 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if by == "fingerprints":
         at = written(fingerprints(docs, id_col, text_col), "simhash")
         return _components(at, "fp", links).withColumnsRenamed({"id": id_col})
-    docs = numberable(docs)
-    row = F.monotonically_increasing_id()
-    ids = docs.select(F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row")).alias("at"), docs[text_col].alias("text"))
-    fps = fingerprints(ids, "at", "text").select(F.col("id.row").alias("row"), "fp")
-    found = _near_copies(ids, "at", "text").withColumn("row", F.col("id.row")).join(fps, "row")
+    docs, rows = _numbered(docs, id_col, text_col)
+    fps = fingerprints(rows, "row", "text").withColumnsRenamed({"id": "row"})
+    found = _near_copies(rows).withColumn("row", F.col("id.row")).join(fps, "row")
     return found.select(F.col("id.i").alias(id_col), "fp", "root", F.col("component_id.i").alias("component_id"))
 
 
@@ -222,12 +228,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Among equal ids, or where all are null, the first row in file order stays.
     """
-    docs = numberable(docs)
-    row = F.monotonically_increasing_id()
-    ids = docs.select(F.struct(docs[id_col].isNull().alias("n"), docs[id_col].alias("i"), row.alias("row")).alias("at"), docs[text_col].alias("text"))
-    found = _near_copies(ids, "at", "text")
+    docs, rows = _numbered(docs, id_col, text_col)
+    found = _near_copies(rows)
     name = "row"
     while name in (c.lower() for c in docs.columns):
         name += "_"
     keep = found.groupBy("root").agg(F.min("id").alias("at")).select(F.col("at.row").alias(name))
-    return docs.withColumn(name, row).join(keep, name, "left_semi").drop(name)
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(keep, name, "left_semi").drop(name)
