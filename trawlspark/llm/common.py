@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,6 +80,18 @@ def doc_fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, what is run hands Python batches of so many rows: for rows of many bytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def map_lists(df: DataFrame, make: Callable[[], Callable[..., Iterable]], schema: str) -> DataFrame:
     """Apply to each Arrow batch a function from the columns, as lists, to the output columns.
 

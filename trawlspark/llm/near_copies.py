@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_lists, written
+from .common import arrow_batches, map_lists, written
 from .components import connected_components
 
 SIZE = 5
@@ -31,6 +31,8 @@ FIRST = 3
 BROADCAST = 200_000
 #: Bytes of a shingle's hash by which candidates are counted.
 KEPT = 5
+#: Texts, and pairs of sets, that a task holds at once.
+TEXT_ROWS, PAIR_ROWS = 1000, 200
 #: Pairs that are looked at together, and rows of a key that go row by row.
 _PAIRS, _SMALL = 1 << 20, 256
 
@@ -54,8 +56,8 @@ def nodes(rows: DataFrame) -> DataFrame:
 
     def make():
         def run(ids, row, texts):
-            sets = [shingles(t) for t in texts]
-            return ids, row, [node_of(s) for s in sets], [len(s) for s in sets]
+            names, sizes = zip(*((node_of(s), len(s)) for s in map(shingles, texts))) if texts else ((), ())
+            return ids, row, names, sizes
 
         return run
 
@@ -264,7 +266,8 @@ def counted(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
         return lambda node, text: (node, [_pack(shingles(t)) for t in text])
 
     sets = map_lists(texts, make, "node long, grams binary")
-    sets = written(sets, "near-sets")
+    with arrow_batches(rows.sparkSession, TEXT_ROWS):
+        sets = written(sets, "near-sets")
     end = lambda x: sets.select(F.col("node").alias(x), F.col("grams").alias(f"grams_{x}"))
     both = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").select("a", "b", "grams_a", "grams_b")
 
@@ -274,7 +277,8 @@ def counted(pairs: DataFrame, rows: DataFrame, named: DataFrame) -> DataFrame:
             use = [similar(_unpack(p), _unpack(q)) for p, q in zip(x.to_pylist(), y.to_pylist())]
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(use, pa.bool_())), c.filter(pa.array(use, pa.bool_()))], names=["a", "b"])
 
-    return written(both.mapInArrow(run, "a long, b long"), "near-links")
+    with arrow_batches(rows.sparkSession, PAIR_ROWS):
+        return written(both.mapInArrow(run, "a long, b long"), "near-links")
 
 
 def links(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -284,7 +288,8 @@ def links(rows: DataFrame, named: DataFrame) -> DataFrame:
     """
     known, count = frequent(rows, named.count())
     spread = keys(rows, known, count).repartition("key").sortWithinPartitions("key", F.expr("place & 4294967295"), "node")
-    shared = written(spread.mapInArrow(_shared, "key long, node long, place long, other long"), "near-keys")
+    with arrow_batches(rows.sparkSession, TEXT_ROWS):
+        shared = written(spread.mapInArrow(_shared, "key long, node long, place long, other long"), "near-keys")
     first = written(shared.where("key is null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "near-pairs")
     held = counted(first, rows, named)
     label = lambda df, x, of: df.join(of.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import map_lists, numberable, written
+from .common import arrow_batches, map_lists, numberable, written
 from .components import connected_components
 from .golay import key_table
 
@@ -195,7 +195,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def _near_copies(rows: DataFrame) -> DataFrame:
     """rows(id, row, text) -> (id, node, root, component_id): components of near copies, see near_copies."""
-    named = written(near_copies.nodes(rows), "near-nodes")
+    with arrow_batches(rows.sparkSession, near_copies.TEXT_ROWS):
+        named = written(near_copies.nodes(rows), "near-nodes")
     return _components(named.select("id", "node"), "node", lambda _: near_copies.links(rows, named))
 
 
