@@ -65,10 +65,26 @@ def test_cut_archives_and_unmounted_folders_are_errors(tmp_path):
         f.truncate(os.path.getsize(path) - 30)
     with pytest.raises(Exception):  # noqa: B017
         list(warc.read_archive(path))
+    whole = [warc.record(i, "u", b"abc" * i, warc.digest_of(b"abc" * i), "response", None) for i in range(3)]
+    assert warc.write_archive(path, iter(whole), b"WARC/1.1") == 3
+    data = open(path, "rb").read()
+    for n in range(len(data)):
+        with open(path, "wb") as f:
+            f.write(data[:n])
+        with pytest.raises(Exception):  # noqa: B017
+            list(warc.read_archive(path, 3))
     with pytest.raises(ValueError, match="mounted"):
         local_path("hdfs://x/y")
 
 
+def test_ids_of_text_come_back_as_they_are(spark):
+    ids = ["a  b", "a\tb", " c", "", "é%20\r\n", None, "d", "d"]
+    pages = spark.createDataFrame([(i, "http://x/ y\r\nz", "same" if i else str(n)) for n, i in enumerate(ids)], "page_id string, url string, html string")
+    rows = warc.round_trip(pages).collect()
+    assert sorted(map(str, (r.page_id for r in rows))) == sorted(map(str, ids))
+    assert {r.refers_to for r in rows if r.record_type == "revisit"} == {" c"} and sum(r.record_type == "revisit" for r in rows) == 5
+
+
 def check_shards(docs, rows, shards):
     assert len(rows) == len(docs)
     counts = Counter(r.shard for r in rows)

@@ -8,6 +8,7 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -39,8 +40,14 @@ def _id(page: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, str(page))}>"
 
 
-def _clean(value: object) -> str:
-    return " ".join(str(value).split())
+def _clean(url: str) -> str:
+    """A url without what would end its header line; the rest of its own escapes stay."""
+    return quote(url, safe="%/:=&?~#+!$,;'@()*[]|")
+
+
+def _name(page: object) -> str:
+    """A page's id as a header's value, from which unquote() gives back each character."""
+    return quote(str(page), safe="")
 
 
 def record(page: object, url: str | None, payload: bytes, digest: str, kind: str, refers_to: object) -> bytes:
@@ -54,11 +61,11 @@ def record(page: object, url: str | None, payload: bytes, digest: str, kind: str
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if page is not None:
-        head.append(f"WARC-Page-Id: {_clean(page)}")
+        head.append(f"WARC-Page-Id: {_name(page)}")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            head += [f"WARC-Refers-To: {_id(refers_to)}", f"WARC-Refers-To-Page-Id: {_clean(refers_to)}"]
+            head += [f"WARC-Refers-To: {_id(refers_to)}", f"WARC-Refers-To-Page-Id: {_name(refers_to)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -87,39 +94,46 @@ def write_archive(path: str, records: Iterator[bytes], dictionary: bytes) -> int
     return n
 
 
-def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record, one held at a time; a revisit's payload is empty."""
+def _frames(path: str) -> Iterator[bytes]:
+    """What each frame behind the dictionary's holds; a frame that ends early is an error."""
     with open(path, "rb") as f:
-        magic, size = struct.unpack("<II", f.read(8))
-        if magic != MAGIC:
+        start = f.read(8)
+        if len(start) < 8 or (sizes := struct.unpack("<II", start))[0] != MAGIC:
             raise ValueError(f"{path}: no dictionary frame")
-        dictionary = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(f.read(size)))
-        flow = zstandard.ZstdDecompressor(dict_data=dictionary).stream_reader(f, read_across_frames=True, read_size=1 << 20)
-        held = b""
-        while True:
-            while b"\r\n\r\n" not in held:
-                more = flow.read(1 << 16)
-                if not more:
-                    if held:
-                        raise ValueError(f"{path}: a record is cut off")
-                    return
-                held += more
-            head, held = held.split(b"\r\n\r\n", 1)
-            lines = head.decode().split("\r\n")
-            headers = dict(x.split(": ", 1) for x in lines[1:])
-            need = int(headers["Content-Length"]) + 4
-            parts, have = [held], len(held)
-            while have < need:
-                more = flow.read(min(1 << 22, max(1 << 16, need - have)))
-                if not more:
+        packed = f.read(sizes[1])
+        if len(packed) < sizes[1]:
+            raise ValueError(f"{path}: the dictionary is cut off")
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(packed)))
+        left = b""
+        while left := left or f.read(1 << 16):
+            frame, parts = expand.decompressobj(), []
+            while True:
+                parts.append(frame.decompress(left))
+                if frame.eof:
+                    break
+                if not (left := f.read(1 << 20)):
                     raise ValueError(f"{path}: a record is cut off")
-                parts.append(more)
-                have += len(more)
-            held = b"".join(parts)
-            block, held = held[: need - 4], held[need:]
-            http, payload = block.split(b"\r\n\r\n", 1)
-            headers["Payload-Length"] = next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length")).decode()
-            yield headers, payload
+            left = frame.unused_data
+            yield b"".join(parts)
+
+
+def read_archive(path: str, records: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, payload) of each record, one held at a time; a revisit's payload is empty.
+
+    A record that is cut off is an error, and so is another number of records than `records`.
+    """
+    n = 0
+    for n, whole in enumerate(_frames(path), 1):
+        head, _, rest = whole.partition(b"\r\n\r\n")
+        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        block = rest[: int(headers["Content-Length"])]
+        if rest[len(block) :] != b"\r\n\r\n":
+            raise ValueError(f"{path}: a record doesn't end where its header says")
+        http, _, payload = block.partition(b"\r\n\r\n")
+        headers["Payload-Length"] = next(x.split(b": ")[1] for x in http.split(b"\r\n") if x.startswith(b"Content-Length")).decode()
+        yield headers, payload
+    if records is not None and n != records:
+        raise ValueError(f"{path}: {n} records of {records}")
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -182,11 +196,13 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 def unarchived(archives: DataFrame, id_type: str, whole_id: bool) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of each record of the archives.
 
-    The payload of a response is held against its digest; that of a revisit is null.
+    The payload of a response is held against its digest; that of a revisit is null. An archive that is cut
+    anywhere, or holds another number of records than archives says, is an error. Null ids come back as null,
+    ids of text with every character, and no archives give no rows.
     """
     schema = f"page_id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}, payload binary"
     kind = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64()}.get(id_type, pa.string())
-    read_id = (lambda x: None if x is None else int(x)) if whole_id else (lambda x: x)
+    read_id = (lambda x: None if x is None else int(x)) if whole_id else (lambda x: None if x is None else unquote(x))
 
     def run(batches):
         rows: list[tuple] = []
@@ -198,8 +214,8 @@ def unarchived(archives: DataFrame, id_type: str, whole_id: bool) -> DataFrame:
 
         held = 0
         for b in batches:
-            for path in b.column(0).to_pylist():
-                for h, payload in read_archive(path):
+            for path, count in zip(*(c.to_pylist() for c in b.columns)):
+                for h, payload in read_archive(path, count):
                     digest, again = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
                     if not again and (digest_of(payload) != digest or len(payload) != int(h["Payload-Length"])):
                         raise ValueError(f"{path}: a payload doesn't match its digest")
@@ -212,11 +228,16 @@ def unarchived(archives: DataFrame, id_type: str, whole_id: bool) -> DataFrame:
             yield batch()
 
     n = max(1, archives.count())
-    return archives.select("path").repartition(n).mapInArrow(run, schema)
+    return archives.select("path", "records").repartition(n).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """What the archives of all pages hold, read back: the id, payload_bytes, payload_digest, record_type, refers_to."""
+    """What the archives of all pages hold, read back: the id, payload_bytes, payload_digest, record_type, refers_to.
+
+    One row for each row of pages, repeated ones too; of equal payloads the smallest id is the response, of
+    equal ids there the first row. A null html is the empty payload; texts of any length are written whole;
+    other columns aren't read; an empty table gives no rows.
+    """
     kind = pages.schema[id_col].dataType
     back = unarchived(archived(pages, id_col, url_col, html_col, least_bytes), kind.simpleString(), isinstance(kind, IntegralType))
     return back.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
