@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, decontaminate, ngram_lm, quality, sharding, simhash, token_count, toxicity, warc
-from .common import table, written
+from .common import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
@@ -53,7 +53,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.examples(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
-    return chat.digest(written(found, "examples"))
+    return chat.digest(found)
 
 
 QUERIES = {
