@@ -38,6 +38,38 @@ def test_block_max_search_is_exact(monkeypatch):
         assert index.nearest(c, 10) == (brute_nearest(index, c, 10) if c else [])
 
 
+def test_scores_are_brute_force_votes_whatever_the_ids_are(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(8)]
+    v = toxicity.Vectors({w: rng.uniform(1, 5) for w in words})
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 3)))
+    rows = [(rng.randint(0, 1), v.counts(text())) for _ in range(300)]
+
+    def brute(counts):
+        at, q = v.unit(counts)
+        q, k, near = dict(zip(at.tolist(), q)), toxicity.NEIGHBOURS, []
+        for y, c in rows:
+            if c:
+                a, w = v.unit(c)
+                near.append((round(sum(q.get(t, 0) * x for t, x in zip(a.tolist(), w)), 12), y))
+        near = sorted((n for n in near if n[0] > 0), reverse=True)
+        last = near[k - 1][0] if len(near) >= k else 0
+        above, tied = [n for n in near if n[0] > last], [n for n in near if n[0] == last]
+        part = (k - len(above)) / len(tied) if tied else 0
+        toxic = sum(s * y for s, y in above) + part * sum(s * y for s, y in tied)
+        weight = sum(s for s, _ in above) + part * sum(s for s, _ in tied)
+        return (toxic + (0.3 if weight else 0.1) * toxicity.PRIOR_WEIGHT) / (weight + toxicity.PRIOR_WEIGHT)
+
+    scores = []
+    for seed in range(3):
+        ids = random.Random(seed).sample(range(1000), len(rows))
+        index = toxicity.BlockMaxIndex(v, [(i, y, c) for i, (y, c) in zip(ids, rows)], 0.3, 0.1)
+        scores.append({c: index.score(c)[0] for _, c in rows if c})
+    assert scores[0] == scores[1] == scores[2]
+    assert all(abs(s - brute(c)) < 1e-9 for c, s in scores[0].items())
+
+
 def test_levels_count_as_features():
     v = toxicity.Vectors({"bad": 1.0, "bad@2": 1.0, "ba~": 1.0, "bad@4": 1.0})
     f = toxicity.features("Bad, bad! good")

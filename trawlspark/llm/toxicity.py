@@ -11,7 +11,7 @@ votes, weighted by cosine and shrunk to the labels' prior, are the score; their
 from __future__ import annotations
 
 from collections import Counter
-from math import log
+from math import fsum, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,8 @@ from .common import doc_fold, filtered, map_lists, written
 #: At most so many labelled documents are examples: those whose ids' hashes are the least.
 MAX_EXAMPLES = 20_000
 MAX_FEATURES = 4096
-MIN_G = 30.0
+#: Least G of a feature: MIN_G, or with few examples as much less as their number, but no less than LEAST_G.
+MIN_G, G_A_ROW, LEAST_G = 30.0, 0.02, 11.0
 MIN_EXAMPLES = 3
 NEIGHBOURS = 16
 #: Weight of the prior among the votes.
@@ -113,37 +114,53 @@ class BlockMaxIndex:
             np.maximum.at(self.top[t], a // BLOCK, w)
         self.memo: dict[tuple, tuple] = {}
 
-    def nearest(self, counts: tuple, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
-        """(example, cosine) of the k nearest with a shared feature: by cosine, then by place."""
+    def near(self, counts: tuple, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a shared feature and of all as near as the k-th: by cosine, then by place."""
+        none = np.zeros(0, np.int64), np.zeros(0)
         if not counts or not self.ids:
-            return []
+            return none
         at, q = self.vectors.unit(counts)
         bound = q @ self.top[at]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
+        best, cosines = none
+        for b in np.argsort(-bound, kind="stable").tolist():
+            least = cosines[k - 1] if len(cosines) >= k else 0.0
+            if bound[b] <= 0 or bound[b] < least - 1e-9:
                 break
             acc = np.zeros(BLOCK)
             for t, x in zip(at.tolist(), q.tolist()):
                 s, e = self.cut[t, b], self.cut[t, b + 1]
                 if e > s:
                     acc[self.at[t][s:e] - b * BLOCK] += x * self.w[t][s:e]
-            hit = np.flatnonzero(acc > 0)
-            if len(hit) > k:  # ties at the k-th place are settled by place below
-                hit = hit[acc[hit] >= np.partition(acc[hit], -k)[-k]]
-            best = sorted(best + [(-round(float(acc[h]), 12), b * BLOCK + h) for h in hit.tolist()])[:k]
-        return [(e, -s) for s, e in best]
+            acc = np.round(acc, 12)
+            hit = np.flatnonzero((acc > 0) & (acc >= least))
+            best, cosines = np.concatenate([best, hit + b * BLOCK]), np.concatenate([cosines, acc[hit]])
+            order = np.lexsort((best, -cosines))
+            best, cosines = best[order], cosines[order]
+            if len(best) > k:
+                end = np.searchsorted(-cosines, -cosines[k - 1], side="right")
+                best, cosines = best[:end], cosines[:end]
+        return best, cosines
+
+    def nearest(self, counts: tuple, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+        """(example, cosine) of the k nearest with a shared feature: by cosine, then by place."""
+        return list(zip(*(x[:k].tolist() for x in self.near(counts, k))))
+
+    def votes(self, best: np.ndarray, cosines: np.ndarray, k: int = NEIGHBOURS) -> tuple[float, float]:
+        """(cosines of toxic neighbours, of all) of k; examples that tie for the last places share them, so that their order doesn't matter."""
+        share = np.ones(len(best))
+        if len(best) > k:
+            tied = cosines == cosines[-1]
+            share[tied] = (k - np.sum(~tied)) / np.sum(tied)
+        return fsum(share * cosines * self.label[best]), fsum(share * cosines)
 
     def score(self, counts: tuple) -> tuple[float, list]:
         """(score, ids of the three nearest examples) of a text's counts."""
         known = self.memo.get(counts)
         if known is None:
-            near = self.nearest(counts)
-            votes, weight = (self.prior if near else self.blank) * PRIOR_WEIGHT, PRIOR_WEIGHT
-            for e, cosine in near:
-                votes, weight = votes + cosine * self.label[e], weight + cosine
-            known = (votes / weight, [self.ids[e] for e, _ in near[:3]])
+            best, cosines = self.near(counts)
+            toxic, weight = self.votes(best, cosines)
+            prior = self.prior if weight else self.blank
+            known = ((toxic + prior * PRIOR_WEIGHT) / (weight + PRIOR_WEIGHT), [self.ids[e] for e in best[:3].tolist()])
             if len(self.memo) >= _KEPT:
                 self.memo.clear()
             self.memo[counts] = known
@@ -193,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     c = all_toxic - a
     d = all_n - a - b - c
     g = 2 * (x(a) + x(b) + x(c) + x(d) - x(a + b) - x(c + d) - x(F.lit(float(all_toxic))) - x(b + d) + x(F.lit(float(all_n))))
-    rows = rows.withColumn("g", g).where(F.col("g") >= MIN_G).orderBy(F.desc(F.round("g", 6)), "f").limit(MAX_FEATURES)
+    rows = rows.withColumn("g", g).where(F.col("g") >= min(MIN_G, max(LEAST_G, G_A_ROW * all_n))).orderBy(F.desc(F.round("g", 6)), "f").limit(MAX_FEATURES)
     idf = {r.f: log((1 + all_n) / (1 + r.n)) + 1 for r in rows.collect()}
     vocabulary = spark.sparkContext.broadcast(idf)
 
@@ -218,7 +235,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Every row comes back, equal rows with equal scores. A null text is empty; a text without a
     feature of the vocabulary has the share of toxic ones among such examples as its score and no evidence. Without toxic
-    labels to learn from every score is 0. Other columns aren't read.
+    labels to learn from every score is 0. Other columns aren't read. Examples as near as the last neighbour
+    share its place, so no score depends on ids. An empty table gives no rows; texts are read whole.
     """
     model = _shared(docs, fit(docs, labels, id_col, text_col, label_col))
     kind = dict(docs.dtypes)[id_col]
@@ -238,7 +256,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The rows of docs, all columns, that scored() doesn't predict to be toxic."""
+    """The rows of docs, all columns, that scored() doesn't predict to be toxic.
+
+    Equal texts go or stay together; null and empty texts, repeated rows and empty tables are as in scored().
+    """
     model = _shared(docs, fit(docs, labels, id_col, text_col, label_col))
     place = docs.columns.index(text_col)
 
