@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawlspark.functions import mime
@@ -192,22 +192,13 @@ def pages_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(_open[key], "the track0", summary="tag").df
 
 
-def _string_functions(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+def string_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    x = F.concat(F.lit("  "), text, F.lit("\t "))
+    x = F.concat(F.lit("  "), F.col("text"), F.lit("\t "))
     url = F.concat(F.lit("/data/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
     return d.select("doc_id", T.strip_word(x).alias("stripped"), T.ltrim(x).alias("left_trimmed"), T.rtrim(x).alias("right_trimmed"), T.dirname(url).alias("dir"), T.basename(url).alias("base"))
 
 
-def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the texts' first 40 characters, as its oracle has it; string_functions_whole takes whole texts."""
-    return _string_functions(spark, sf_dir, F.substring("text", 1, 40))
-
-
-def string_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _string_functions(spark, sf_dir, F.col("text"))
-
-
 def stems(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = index(spark, sf_dir).vocab.select("term")
@@ -260,7 +251,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "content_types": content_types,
     "pages_parsed": pages_parsed,
     "pages_search": pages_search,
-    "string_functions": string_functions,
     "string_functions_whole": string_functions_whole,
 }
 
@@ -391,7 +381,6 @@ ORACLES: dict[str, str] = {
     "added": "with " + _index_sql("select doc_id as docno, coalesce(text, '') as raw from documents union all select -1 - (conv_id * 100000 + turn), coalesce(text, '') from conversations") + " select term, df, cf from vocab",
     "index_diff": f"{_I} select term, 'left' as side, count(*) as n from post where term in ({', '.join(map(repr, STOP))}) group by term",
     "content_types": r"select source, case when regexp_matches(c, '^[\x09-\x0d ]*(?i:<doc>)') then 'application/x-trec' when regexp_matches(c, '^[\x09-\x0d ]*(?i:<article>)') then 'application/x-inex' when regexp_matches(c, '^[\x09-\x0d ]*(?i:<!doctype html|<head|<title|<html)') then 'text/html' when starts_with(c, '%!') then 'application/postscript' else 'application/octet-stream' end as type, count(*) as n from (select 'pages' as source, html as c from pages union all select 'documents', text from documents) group by all",
-    "string_functions": r"with x as (select doc_id, '  ' || substr(text, 1, 40) || chr(9) || ' ' as x, '/data/' || source || '/' || doc_id as u from documents) select doc_id, lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) as stripped, regexp_replace(x, '^[ \t\n\x0b\f\r]+', '') as left_trimmed, regexp_replace(x, '[ \t\n\x0b\f\r]+$', '') as right_trimmed, regexp_replace(u, '/[^/]*$', '') as dir, regexp_extract(u, '[^/]*$') as base from x",
     "string_functions_whole": r"with x as (select doc_id, '  ' || text || chr(9) || ' ' as x, '/data/' || source || '/' || doc_id as u from documents) select doc_id, lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) as stripped, regexp_replace(x, '^[ \t\n\x0b\f\r]+', '') as left_trimmed, regexp_replace(x, '[ \t\n\x0b\f\r]+$', '') as right_trimmed, regexp_replace(u, '/[^/]*$', '') as dir, regexp_extract(u, '[^/]*$') as base from x",
 }
 

@@ -32,8 +32,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def workspace(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that all executors share; a temporary one where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or _local.setdefault("dir", tempfile.mkdtemp(prefix="trawlspark-"))
+    """A fresh path in the folder that all executors share; a temporary one where a session on one machine names none."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _local.get("dir")
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = _local["dir"] = tempfile.mkdtemp(prefix="trawlspark-")
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
