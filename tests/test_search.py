@@ -126,6 +126,12 @@ def test_accumulator_limit(index):
     assert docs_of(index, "storm white", accumulator_limit=1) <= docs_of(index, "storm white")
 
 
+def test_common_words_still_add_to_held_documents(index):
+    scores = lambda **x: {r.docno: r.score for r in S.search(index, "storm whale", **x).df.collect()}
+    whole, held = scores(), scores(accumulator_limit=1)
+    assert set(whole) == {0, 1, 2} and held == {2: whole[2]}
+
+
 def test_summaries(index):
     r = {r.docno: r.summary for r in S.search(index, "whale", summary="capitalise").df.collect()}
     assert r[2] == "ship sea storm.  WHALE" and r[0] == "the white WHALE"

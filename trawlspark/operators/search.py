@@ -139,9 +139,10 @@ def search(index: SearchIndex, query: str, metric=None, start: int = 0, length:
         df = index.docs.where(F.col("docno") == one.cache).select(F.lit(1).alias("rank"), "docno", F.lit(0.0).alias("score"), F.substring("aux", 1, AUX).alias("aux"), F.substring("title", 1, TITLE).alias("title"), F.col("raw").alias("summary"))
         return SearchResults(df, df.count(), warnings=tuple(one.warnings))
     rows = conjunct_rows(parsed)
-    if accumulator_limit is not None and len(rows) > 1:
-        rows = _limited(index, rows, accumulator_limit)
     scores = scored(index, [r for r in rows if r[0] == "1"], metric)
+    if accumulator_limit is not None and len(rows) > 1:
+        held = scored(index, _limited(index, rows, accumulator_limit), metric)
+        scores = scores.join(held.select("docno").distinct(), "docno", "left_semi")
     total = scores.count()
     s = scores.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), F.desc("docno")).offset(start).limit(length)
     own = Window.orderBy(F.desc("score"), F.desc("docno"))  # of one page
@@ -157,7 +158,7 @@ def search(index: SearchIndex, query: str, metric=None, start: int = 0, length:
 
 
 def _limited(index: SearchIndex, rows: list[tuple], limit: int) -> list[tuple]:
-    """Leave out the commonest words' lists once rarer ones have filled the limit; at least one stays."""
+    """The lists, rarest words first, whose documents fill the limit; at least one."""
     df = {r.term: r.df for r in index.vocab.where(F.col("term").isin(sorted({t for r in rows for t in r[3]}))).select("term", "df").collect()}
     order = sorted(rows, key=lambda r: min(df.get(t, 0) for t in r[3]))
     kept, held = [], 0
