@@ -61,3 +61,14 @@ def test_the_stage_leaves_one_of_each_near_copy(spark):
     assert kept == set(root.values())
     bits = {r.component_id for r in simhash.near_duplicates(docs, by="fingerprints").collect()}
     assert kept < bits
+
+
+def test_the_stage_links_what_simhash_links(spark):
+    end = lambda x: " ".join(f"{x}{i}" for i in range(20))
+    spam = "cheap pills for you and your friends " * 30
+    texts = [spam + end("a"), spam + end("b"), end("c")]
+    fp = [simhash.fingerprint(t, near_copies.SIZE) for t in texts]
+    assert (fp[0] ^ fp[1]).bit_count() <= simhash.MAX_BITS < (fp[0] ^ fp[2]).bit_count()
+    assert not near(*map(grams, texts[:2]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]

@@ -37,13 +37,27 @@ TEXT_ROWS, PAIR_ROWS = 1000, 200
 _PAIRS, _SMALL = 1 << 20, 256
 
 
-def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; the whole text is one where it has fewer words."""
+def hashes(text: str | None, size: int = SIZE) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; the whole text is one where it has fewer words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64).view(np.int64))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
+
+
+def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(hashes(text, size).view(np.int64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The SimHash of some hashes: each bit that over half of them have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        part = h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -52,16 +66,21 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def nodes(rows: DataFrame) -> DataFrame:
-    """rows(id, row LONG, text) -> (id, row, node LONG, n INT): the name and the size of each row's set."""
+    """rows(id, row LONG, text) -> (id, row, node LONG, n INT, fp LONG): the name and the size of each row's set, and its SimHash."""
 
     def make():
+        def one(text):
+            h = hashes(text)
+            s = np.unique(h.view(np.int64))
+            return node_of(s), len(s), majority(h)
+
         def run(ids, row, texts):
-            names, sizes = zip(*((node_of(s), len(s)) for s in map(shingles, texts))) if texts else ((), ())
-            return ids, row, names, sizes
+            names, sizes, fps = zip(*map(one, texts)) if texts else ((), (), ())
+            return ids, row, names, sizes, pa.array(np.array(fps, np.uint64).view(np.int64))
 
         return run
 
-    return map_lists(rows.select("id", "row", "text"), make, f"id {dict(rows.dtypes)['id']}, row long, node long, n int")
+    return map_lists(rows.select("id", "row", "text"), make, f"id {dict(rows.dtypes)['id']}, row long, node long, n int, fp long")
 
 
 def frequent(rows: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,11 +9,10 @@ about 53 for each fingerprint, of which two fingerprints within three bits alway
 from __future__ import annotations
 
 from functools import cache
-from itertools import combinations, product, repeat
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +41,7 @@ def plan() -> list[tuple[int, int, int]]:
 
 def fingerprint(text: str | None, size: int = 3) -> int:
     """SimHash of the word shingles; 0 for a null text and one without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    grams = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 1 << 16):
-        part = h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return near_copies.majority(near_copies.hashes(text, size))
 
 
 def _signed(x) -> pa.Array:
@@ -194,17 +184,27 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 
 def _near_copies(rows: DataFrame) -> DataFrame:
-    """rows(id, row, text) -> (id, node, root, component_id): components of near copies, see near_copies."""
+    """rows(id, row, text) -> (id, node, root, component_id): components of SimHash links and of near copies, see near_copies."""
     with arrow_batches(rows.sparkSession, near_copies.TEXT_ROWS):
         named = written(near_copies.nodes(rows), "near-nodes")
-    return _components(named.select("id", "node"), "node", lambda _: near_copies.links(rows, named))
+    return _components(named.select("id", "node"), "node", lambda _: _simhash_links(named).union(near_copies.links(rows, named)))
+
+
+def _simhash_links(named: DataFrame) -> DataFrame:
+    """named as of near_copies.nodes(), written -> edges (a, b) between nodes whose fingerprints are within MAX_BITS; the least node of a fingerprint stands for it."""
+    least = written(named.groupBy("fp").agg(F.min("node").alias("b")), "near-fingerprints")
+    same = named.select("node", "fp").join(least, "fp").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
+    of = lambda x: least.select(F.col("fp").alias(x), F.col("b").alias(f"node_{x}"))
+    close = links(least.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return same.union(close)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "shingles") -> DataFrame:
-    """Components of near duplicates: of near copies, or of fingerprints that differ in at most three bits.
+    """Components of near duplicates: of SimHash links and near copies, or of fingerprints that differ in at most three bits.
 
-    by: "shingles" links documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more, all of them; "fingerprints" (the contract of op2) those within MAX_BITS.
+    by: "shingles" links documents whose SimHashes of five-word shingles are within MAX_BITS, and those
+    whose sets of such shingles have a Jaccard similarity of 0.8 or more, which three bits mostly miss:
+    all of both. "fingerprints" (the contract of op2) links those whose fp is within MAX_BITS.
 
     Returns for each row of docs: the id column (its name and type), fp LONG, root LONG (the least
     fingerprint of the component as signed, or the least name of its shingle sets) and component_id, the
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near copies (five-word shingles, Jaccard 0.8): of each component the row with the least id.
+    """The rows of docs without near duplicates (SimHash links and near copies, see near_duplicates): of each component the row with the least id.
 
     Among equal ids, or where all are null, the first row in file order stays.
     """
