@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from trawlspark.llm import ngram_lm, quality, toxicity
+from trawlspark.llm import ngram_lm, quality, suffix, toxicity
 from trawlspark.llm.suffix import Shard, suffix_array
 
 fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
@@ -260,3 +260,47 @@ def test_all_held_out_and_context_helps(spark, sf):
     assert (one.train_tokens, one.n_known, one.base_score) == (0, 0, 0.0)
     rows = [r for r in ngram_lm.scored(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_counts_from_the_neighbours_of_a_sorted_place(monkeypatch):
+    rng = random.Random(8)
+    for tokens in (8, 1):
+        monkeypatch.setattr(suffix, "_TOKENS", tokens)
+        for _ in range(100):
+            texts = []
+            for _ in range(rng.randint(1, 14)):
+                x = rng.choice(texts)[rng.randint(0, 3) :] if texts and rng.random() < 0.4 else [rng.randint(1, rng.choice([1, 2, 5])) for _ in range(rng.randint(1, 20))] + [9]
+                texts += [x] if x else []
+            t = np.array(sum(texts, []), np.int32)
+            _, room = ngram_lm.starts_of([len(x) for x in texts])
+            at = np.flatnonzero(t != 9)
+            places = at[at < sum(map(len, texts[: len(texts) // 2]))]
+            left = np.where(t[at - 1] == 9, -2, t[at - 1]).astype(np.int64)
+            shard = Shard.around(t, places, room[places], at, room[at])
+            who, length, n = shard.drops(t, at, room[at])
+            kept = set(shard.drops(t, at, room[at], left=left)[0].tolist())
+            for i, a in enumerate(at.tolist()):
+                share = [next((k for k in range(room[a]) if k == room[p] or t[p + k] != t[a + k]), room[a]) for p in places.tolist()]
+                for m in range(2, room[a] + 1):
+                    assert n[(who == i) & (length >= m)].sum() == sum(s >= m for s in share)
+                most = max(share, default=0)
+                if most >= 2 and i not in kept:
+                    assert any(s == most and t[p - 1] == left[i] for p, s in zip(places.tolist(), share))
+
+
+def test_a_place_is_looked_up_in_one_shard_only(tmp_path):
+    rng = np.random.default_rng(2)
+    store = ngram_lm._Store(str(tmp_path))
+    for i in range(60):
+        store.add(i, i % 5 == 1, np.append(rng.integers(0, 30, 40), 99))
+    (unit, _, lengths, n_train, texts), words, _ = store.flush()
+
+    class Vocabulary:
+        def ids(self, x):
+            return np.searchsorted(words, x)
+
+    ngram_lm.encode_unit(str(tmp_path), unit, np.array(lengths), n_train, texts, Vocabulary(), 7)
+    for kind, size in (("asked", 48 + 12 * 40), ("suffixes", 48 * 40)):
+        places, cuts = np.fromfile(tmp_path / f"{unit}.{kind}", np.int32), np.fromfile(tmp_path / f"{unit}.{kind}-cuts", np.int64)
+        assert len(set(places.tolist())) == len(places) == size and cuts[0] == 0 and cuts[-1] == size and len(cuts) == 8
+        assert (np.diff(cuts) > size // 20).all()

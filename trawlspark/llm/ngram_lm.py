@@ -1,21 +1,25 @@
 """LM scoring by unbounded n-grams: suffix arrays over shards of the corpus, longest matching contexts, summed counts.
 
-Three passes. (1) Every text becomes 64-bit token hashes in files of a token store below the shared
-folder, and the training tokens' counts become a sorted vocabulary there, in files by range. (2) Each
-shard of the training tokens is one task: it builds a suffix array in memory and looks up, by binary
-search, what the held-out texts have in common with it from every token on, and the training texts from
-their first token on (a training text occurs itself, so its longest context is its whole past).
-(3) For each file of the store the shards' counts are summed: the context of a token is the longest
+Four passes. (1) Every text becomes 64-bit token hashes in files below the shared folder, and the
+training tokens' counts become a sorted vocabulary there, in files by range. (2) Each file's tokens become
+their places in the vocabulary, 32 bits each, beside the places of its suffixes and of what is looked up, by a
+hash of their first two tokens. (3) A shard has all training suffixes of a range of these hashes, from all
+files: one task orders them to a suffix array and looks up, by binary search, what has such a hash: the
+held-out texts from every token on, and the training texts from their first token on (a training text
+occurs itself, so its longest context is its whole past). So a place is looked up in one shard only, and
+the cost is linear in tokens. Suffixes go on in the files of the whole corpus, which each task maps in one row.
+(4) For each file of the store the shards' counts are summed: the context of a token is the longest
 run of tokens before it that occurs in the training texts, and
 p(token) = (count(context, token) + a * p0(token)) / (count(context) + a), p0 being the unigram
 probability and a = STRENGTH / length(context)^2: longer contexts are trusted more.
 
-Pass 2 costs held-out tokens x shards, so shards should be as large as a task's memory allows
-(about 60 bytes a token). All files are memory-mapped; nothing that grows is broadcast or collected.
+A shard of more suffixes than SHARD_TOKENS (frequent pairs) is looked up in parts, whose counts add up.
+All files are memory-mapped; nothing that grows is broadcast or collected.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -31,7 +35,9 @@ from .common import doc_fold, fresh_path, local_path, written
 from .suffix import Shard, gram_keys
 
 #: Tokens of one suffix array, and of one file of the token store.
-SHARD_TOKENS, UNIT_TOKENS = 4_000_000, 3_000_000
+SHARD_TOKENS, UNIT_TOKENS = 2_500_000, 3_000_000
+#: Files of tokens end at multiples of so many, so that they can be mapped one behind another.
+ALIGN = 1 << 14
 STRENGTH = 100.0
 #: The end token's hash; no word has a space.
 END = xxhash.xxh64_intdigest(b" end", 42)
@@ -67,12 +73,10 @@ class _Store:
         none = np.zeros(0, np.int64)
         train, held = (np.concatenate(x) if x else none for x in self.texts)
         unit = uuid.uuid4().hex
-        save(f"{self.folder}/{unit}.tokens", np.concatenate([train, held]))
+        save(f"{self.folder}/{unit}.words", np.concatenate([train, held]))
         lengths = [len(h) for h in self.texts[1]]
         first = [first_of(x) for x in self.texts]
         save(f"{self.folder}/{unit}.first", np.concatenate([first[0], first[1] + len(first[0])]).astype(np.int32))
-        at, room = queries_of(np.array(lengths, np.int64), first[1])
-        save(f"{self.folder}/{unit}.order", np.argsort(gram_keys(held, at, 2)).astype(np.int32) if len(at) else none.astype(np.int32))
         words, counts = np.unique(train, return_counts=True)
         row = (unit, self.ids[0] + self.ids[1], [len(h) for h in self.texts[0]] + lengths, len(train), len(self.texts[0]))
         self.clear()
@@ -119,26 +123,39 @@ class Vocabulary:
         self.paths = [t["path"][i] for i in order]
         self.first = np.array(t["first"], np.int64)[order]
         self.total, self.distinct = sum(t["total"]), sum(t["distinct"])
+        self.before = np.concatenate([[0], np.cumsum(np.array(t["distinct"], np.int64)[order])])
         self.open: dict[int, tuple] = {}
 
-    def count(self, tokens: np.ndarray) -> np.ndarray:
-        """The count of each of some sorted distinct tokens, 0 for unknown ones."""
-        out = np.zeros(len(tokens), np.int64)
+    def _files(self, k: int) -> tuple:
+        if k not in self.open:
+            self.open[k] = mapped(self.paths[k] + ".words", np.int64), mapped(self.paths[k] + ".counts", np.int64)
+        return self.open[k]
+
+    def ids(self, tokens: np.ndarray) -> np.ndarray:
+        """The place in the vocabulary of each of some sorted distinct tokens, -1 for unknown ones."""
+        out = np.full(len(tokens), -1, np.int64)
         if not len(self.first):
             return out
         cut = np.append(np.searchsorted(tokens, self.first[1:]), len(tokens))
         at = 0
         for k, end in enumerate(cut.tolist()):
             if end > at:
-                if k not in self.open:
-                    self.open[k] = mapped(self.paths[k] + ".words", np.int64), mapped(self.paths[k] + ".counts", np.int64)
-                words, counts = self.open[k]
+                words = self._files(k)[0]
                 part = tokens[at:end]
                 p = np.minimum(np.searchsorted(words, part), len(words) - 1)
-                out[at:end] = np.where(words[p] == part, counts[p], 0)
+                out[at:end] = np.where(words[p] == part, p + self.before[k], -1)
             at = end
         return out
 
+    def count(self, ids: np.ndarray) -> np.ndarray:
+        """The count of each of some sorted places, 0 for those below 0."""
+        out = np.zeros(len(ids), np.int64)
+        cut = np.searchsorted(ids, self.before)
+        for k, (at, end) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if end > at:
+                out[at:end] = self._files(k)[1][ids[at:end] - self.before[k]]
+        return out
+
 
 def tokenized(docs: DataFrame, folder: str, id_col: str, text_col: str, held: Column) -> DataFrame:
     """Write the token store -> units (kind 0) and training counts (kind 1), as one table."""
@@ -187,22 +204,110 @@ def vocabulary(counts: DataFrame, folder: str) -> DataFrame:
     return flat.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(run, "path string, first long, distinct long, total long")
 
 
-def _search(folder: str, units_path: str):
-    """Shards of units -> for each unit of the store the drops() of its texts: (unit, blob)."""
+def shard_keys(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """By these a place's first two tokens decide its shard."""
+    return gram_keys(t, at, 2) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def encode_unit(folder: str, unit: str, lengths: np.ndarray, n_train: int, texts: int, vocabulary: Vocabulary, shards: int) -> int:
+    """Replace a unit's hashes by a file of places in the vocabulary, and write which of them belong to each shard -> tokens in the file."""
+    size = -(-int(lengths.sum()) // ALIGN) * ALIGN
+    raw = f"{folder}/{unit}.words"
+    if not os.path.exists(raw):  # an earlier attempt came to the end
+        return size
+    words, back = np.unique(np.fromfile(raw, np.int64), return_inverse=True)
+    t = vocabulary.ids(words).astype(np.int32)[back.ravel()]
+    first = np.array(mapped(f"{folder}/{unit}.first", np.int32), np.int64)
+    ends = np.cumsum(lengths)
+    own = (first[:texts] == np.arange(texts)) & (lengths[:texts] >= 2)
+    at, _ = queries_of(lengths[texts:], first[texts:] - texts)
+    asked = np.concatenate([(ends - lengths)[:texts][own], at + n_train])
+    asked = asked[(t[asked] >= 0) & (t[asked + 1] >= 0)] if len(asked) else asked
+    suffixes = np.delete(np.arange(n_train), ends[:texts] - 1)
+    bounds = np.array([(i << 64) // shards for i in range(shards)], np.uint64)
+    for kind, places in (("asked", asked), ("suffixes", suffixes)):
+        k = shard_keys(t, places)
+        by = np.argsort(k)
+        save(f"{folder}/{unit}.{kind}", places[by].astype(np.int32))
+        save(f"{folder}/{unit}.{kind}-cuts", np.append(np.searchsorted(k[by], bounds), len(k)))
+    save(f"{folder}/{unit}.ends", ends)
+    save(f"{folder}/{unit}.tokens", np.append(t, np.full(size - len(t), t[-1])))
+    os.remove(raw)
+    return size
+
+
+def row_of(paths: list[str], sizes: list[int]) -> tuple[np.ndarray, callable]:
+    """Files of 32-bit numbers, mapped one behind another as one array, and what ends that."""
+    libc = ctypes.CDLL(None, use_errno=True)
+    libc.mmap.restype = ctypes.c_void_p
+    libc.mmap.argtypes = [ctypes.c_void_p, ctypes.c_size_t, ctypes.c_int, ctypes.c_int, ctypes.c_int, ctypes.c_long]
+    libc.munmap.argtypes = [ctypes.c_void_p, ctypes.c_size_t]
+
+    def at(*args) -> int:
+        x = libc.mmap(*args)
+        if x == ctypes.c_void_p(-1).value:
+            raise OSError(ctypes.get_errno(), os.strerror(ctypes.get_errno()))
+        return x
+
+    none, shared, private, fixed, anonymous = 0, 1, 2, 0x10, 0x20
+    total = sum(sizes)
+    base = here = at(None, 4 * total, none, private | anonymous, -1, 0)
+    for path, size in zip(paths, sizes):
+        fd = os.open(path, os.O_RDONLY)
+        at(here, 4 * size, 1, shared | fixed, fd, 0)
+        os.close(fd)
+        here += 4 * size
+    return np.frombuffer((ctypes.c_int32 * total).from_address(base), np.int32), lambda: libc.munmap(base, 4 * total)
+
+
+def _search(folder: str, encoded_path: str):
+    """Numbers of shards -> for each unit of the store the drops() of its places in the shard: (unit, blob)."""
 
     def run(batches):
-        units = pq.read_table(units_path, columns=["unit", "lengths", "n_train", "train_texts"]).sort_by("unit")
+        numbers = [x for b in batches for x in b.column(0).to_pylist()]
+        if not numbers:
+            return
+        rows = pq.read_table(encoded_path).sort_by("unit").to_pydict()
+        units, sizes = rows["unit"], rows["size"]
+        base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        t, close = row_of([f"{folder}/{u}.tokens" for u in units], sizes)
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            for members, sizes in zip(*(c.to_pylist() for c in b.columns)):
-                parts = [mapped(f"{folder}/{u}.tokens", np.int64)[:n] for u, n in zip(members, sizes)]
-                shard = Shard(np.concatenate(parts))
-                for i in range(units.num_rows):
-                    unit, n_train, texts = (units.column(c)[i].as_py() for c in ("unit", "n_train", "train_texts"))
-                    lengths = units.column("lengths")[i].values.to_numpy()
-                    found = unit_drops(shard, folder, unit, lengths, n_train, texts)
-                    blob = squeeze.compress(packed(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([unit]), pa.array([blob], pa.binary())], names=["kind", "unit", "blob"])
+
+        def gathered(kind: str, number: int) -> tuple[np.ndarray, np.ndarray]:
+            """(place in t, tokens left in its text)"""
+            places, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for u, b in zip(units, base.tolist()):
+                s, e = mapped(f"{folder}/{u}.{kind}-cuts", np.int64)[number : number + 2].tolist()
+                if e > s:
+                    x = mapped(f"{folder}/{u}.{kind}", np.int32)[s:e].astype(np.int64)
+                    ends = mapped(f"{folder}/{u}.ends", np.int64)
+                    room.append(ends[np.searchsorted(ends, x, side="right")] - x)
+                    places.append(x + b)
+            return np.concatenate(places), np.concatenate(room)
+
+        for number in numbers:
+            places, room = gathered("suffixes", number)
+            at, left_in = gathered("asked", number)
+            parts = max(1, -(-len(places) // (2 * SHARD_TOKENS)))
+            left = None
+            if parts == 1:  # in a part of a shard the longest match may not be the longest
+                left = t[at - 1].astype(np.int64)
+                left[left == t[-1]] = -2
+            found = []
+            for i in range(parts):
+                shard = Shard.around(t, places[i::parts], room[i::parts], at, left_in)
+                found.append(shard.drops(t, at, left_in, left=left))
+            who, length, n = (np.concatenate(x) for x in zip(*found))
+            of = np.searchsorted(base, at[who], side="right") - 1
+            by = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[by], np.arange(len(units) + 1)).tolist()
+            for i, (s, e) in enumerate(zip(cut, cut[1:])):
+                if e > s:
+                    own = by[s:e]
+                    blob = squeeze.compress(packed(at[who[own]] - base[i], length[own], n[own]))
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([units[i]]), pa.array([blob], pa.binary())], names=["kind", "unit", "blob"])
+        del t, shard
+        close()
 
     return run
 
@@ -221,19 +326,6 @@ def unpacked(blob: bytes) -> np.ndarray:
     return rows
 
 
-def unit_drops(shard: Shard, folder: str, unit: str, lengths: np.ndarray, n_train: int, texts: int) -> tuple:
-    """drops() of a unit's distinct texts; places count the tokens of the unit's file."""
-    t = np.array(mapped(f"{folder}/{unit}.tokens", np.int64))
-    first = np.array(mapped(f"{folder}/{unit}.first", np.int32), np.int64)
-    own = np.flatnonzero(first[:texts] == np.arange(texts))
-    heads = (np.cumsum(lengths[:texts]) - lengths[:texts])[own]
-    who, length, n = shard.drops(t, heads, lengths[:texts][own])
-    at, room = queries_of(lengths[texts:], first[texts:] - texts)
-    order = np.array(mapped(f"{folder}/{unit}.order", np.int32), np.int64)
-    who2, length2, n2 = shard.drops(t[n_train:], at, room, order)
-    return np.concatenate([heads[who], at[who2] + n_train]), np.concatenate([length, length2]), np.concatenate([n, n2])
-
-
 class Drops:
     """Summed drops of all shards for one unit: how often the tokens from a place occur in the training texts."""
 
@@ -305,19 +397,25 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     both = written(tokenized(docs, folder, id_col, text_col, doc_fold(docs[id_col]) == held_fold), "units")
     units = written(both.where("kind = 0").select("unit", "ids", "lengths", "n_train", "train_texts"), "units")
     manifest = written(vocabulary(both.where("kind = 1").select("words", "counts"), folder), "vocabulary")
-    units_path, manifest_path = (local_path(x.inputFiles()[0].rpartition("/")[0]) if x.inputFiles() else "" for x in (units, manifest))
-    # whole units, in order, make up shards: one row with two numbers for each unit reaches the driver
-    shards, members, sizes, size = [], [], [], 0
-    for r in units.select("unit", "n_train").where("n_train > 0").orderBy("unit").toLocalIterator():
-        if members and size + r.n_train > SHARD_TOKENS:
-            shards.append((members, sizes))
-            members, sizes, size = [], [], 0
-        members.append(r.unit)
-        sizes.append(r.n_train)
-        size += r.n_train
-    shards += [(members, sizes)] if members else []
-    work = spark.createDataFrame(shards, "units array<string>, sizes array<long>").repartition(max(1, len(shards)), F.monotonically_increasing_id())
-    found = work.mapInArrow(_search(folder, units_path), "kind int, unit string, blob binary")
+    of = lambda x: local_path(x.inputFiles()[0].rpartition("/")[0]) if x.inputFiles() else ""
+    manifest_path = of(manifest)
+    total = manifest.agg(F.sum("total")).first()[0] or 0
+    shards = -(-total // SHARD_TOKENS)
+
+    def encode(batches):
+        vocabulary = Vocabulary(manifest_path)
+        for b in batches:
+            for i in range(b.num_rows):
+                unit, n_train, texts = (b.column(c)[i].as_py() for c in (0, 2, 3))
+                size = encode_unit(folder, unit, b.column(1)[i].values.to_numpy(), n_train, texts, vocabulary, shards)
+                yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([size], pa.int64())], names=["unit", "size"])
+
+    # without training texts there is nothing to look up, and the hashes stay as they are
+    found = spark.createDataFrame([], "kind int, unit string, blob binary")
+    if shards:
+        encoded = written(units.select("unit", "lengths", "n_train", "train_texts").repartition(max(12, shards), "unit").mapInArrow(encode, "unit string, size long"), "encoded")
+        work = spark.range(0, shards, 1, shards)
+        found = work.mapInArrow(_search(folder, of(encoded)), "kind int, unit string, blob binary")
     whole = units.select(F.lit(0).alias("kind"), "unit", F.lit(None).cast("binary").alias("blob"), "ids", "lengths", "train_texts")
     found = found.select("kind", "unit", "blob", *(F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("ids", "lengths", "train_texts")))
     together = whole.union(found).repartition("unit").sortWithinPartitions("unit", "kind")
@@ -329,7 +427,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
 
         def close():
             unit, ids, lengths, texts = now
-            t = np.array(mapped(f"{folder}/{unit}.tokens", np.int64))
+            t = np.full(int(lengths.sum()), -1, np.int32)
+            if shards:
+                t[:] = mapped(f"{folder}/{unit}.tokens", np.int32)[: len(t)]
             words, back = np.unique(t, return_inverse=True)
             total, distinct = (vocabulary.total, vocabulary.distinct) if vocabulary else (0, 0)
             count = vocabulary.count(words)[back.ravel()] if vocabulary else np.zeros(len(t), np.int64)

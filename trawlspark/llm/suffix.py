@@ -11,6 +11,8 @@ _CELLS = 1 << 21
 #: Up to so many suffixes are compared with a query one by one; after some rounds of narrowing (a run
 #: of one word loses few suffixes at each length) up to more.
 _FEW, _ROUNDS, _MANY = 256, 16, 1 << 16
+#: So many tokens are sorted one by one before suffixes are compared with each other.
+_TOKENS = 8
 
 
 def gram_keys(t: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -18,9 +20,9 @@ def gram_keys(t: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     out = np.empty(len(at), np.uint64)
     for s in range(0, len(at), 1 << 18):  # in parts, for the memory
         part = at[s : s + (1 << 18)].astype(np.int64)
-        k = t[part].view(np.uint64)
+        k = t[part].astype(np.int64).view(np.uint64)
         for i in range(1, n):
-            k = k * _MIX + t[part + i].view(np.uint64)
+            k = k * _MIX + t[part + i].astype(np.int64).view(np.uint64)
         out[s : s + (1 << 18)] = k ^ (k >> np.uint64(29))
     return out
 
@@ -60,6 +62,53 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return sa
 
 
+def ordered(t: np.ndarray, places: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Which of some places of t (INT32 tokens) is the next by the room tokens from each, at whose end, and only there, is one certain token.
+
+    Ties are split token by token, and those that last (copies) by what they have in common with one of them.
+    """
+    order, sa, n = np.arange(len(places)), places.copy(), len(places)
+    rank, room = np.zeros(n, np.int64), room.astype(np.int64)
+    tied = np.arange(n) if n > 1 else np.zeros(0, np.int64)
+
+    def split(by, key) -> np.ndarray:
+        order[tied], sa[tied], room[tied] = order[tied][by], sa[tied][by], room[tied][by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+        return ~(new & np.append(new[1:], True))
+
+    d = 0
+    while len(tied) and d < _TOKENS:
+        key = rank[tied] << 32 | (t[sa[tied] + d].astype(np.int64) + 2)
+        by = np.argsort(key, kind="stable")
+        more = split(by, key[by])
+        d += 1
+        tied = tied[more & (room[tied] > d)]
+    known = np.full(len(tied), d)
+    while len(tied):
+        r = rank[tied]
+        start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        size = np.diff(np.append(start, len(r)))
+        at = np.repeat(start + size // 2, size)
+        p, v, most = sa[tied], sa[tied[at]], np.minimum(room[tied], room[tied[at]])
+        itself = p == v
+        length = common(t, v, t, p, np.where(itself, known, most), known)
+        same = itself | (length >= most)
+        end = np.minimum(length, most - 1)
+        key = np.where(same, 1 << 31, np.where(t[p + end] < t[v + end], length, (1 << 32) - length))
+        by = np.lexsort((key, r))
+        same, key = same[by], key[by]
+        more = split(by, np.stack([r[by], key], 1).view("i8,i8").ravel()) & ~same
+        tied, known = tied[more], length[by][more]
+    return order
+
+
+def least_so_far(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The running minimum of numbers from 0 to 2^32 - 1, begun anew where new."""
+    of = np.cumsum(new) << 32
+    return np.minimum.accumulate(x - of) + of
+
+
 def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
     """Length of the common prefix of a from each i and b from each j, most at the most; known tokens are known to agree.
 
@@ -89,8 +138,8 @@ def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.
             length[o] += np.where(whole, chunk, np.argmin(same, 1))
             still.append(o[whole & (length[o] < most[k])])  # most never reaches beyond either end
         open_ = np.concatenate(still)
-        chunk *= 4
-        if chunk > 64:
+        chunk *= 4 if chunk < 128 else 2
+        if chunk > 1024:
             break
     # few pairs share more: these are compared slice by slice
     for o in open_.tolist():
@@ -116,13 +165,38 @@ def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.
 
 
 class Shard:
-    """The suffix array of some training tokens."""
+    """The suffix array of some training tokens; sa: that of some of their places only."""
 
-    def __init__(self, tokens: np.ndarray):
+    def __init__(self, tokens: np.ndarray, sa: np.ndarray | None = None):
         self.t = tokens
-        self.sa = suffix_array(tokens)
+        self.sa = suffix_array(tokens) if sa is None else sa
+        self.lcp: np.ndarray | None = None
         self._tables: dict[int, tuple] = {}
 
+    @classmethod
+    def around(cls, t: np.ndarray, places: np.ndarray, room: np.ndarray, at: np.ndarray, left_in: np.ndarray) -> Shard:
+        """The suffixes at some places, see ordered(), with the places at, of which drops() is going to be asked, sorted in.
+
+        lcp: what each suffix has in common with the one before; spot: how many suffixes lie before each
+        of at; back and on: what it has in common with the last of these and with the next one.
+        """
+        both, space = np.concatenate([places, at]), np.concatenate([room, left_in])
+        by = ordered(t, both, space)
+        both, space = both[by], space[by]
+        near = np.append(0, common(t, both[:-1], t, both[1:], np.minimum(space[:-1], space[1:])))
+        own = by < len(places)
+        shard = cls(t, both[own])
+        where = np.flatnonzero(own)
+        shard.lcp = np.append(0, np.minimum.reduceat(near, where[:-1] + 1)[: len(where) - 1]) if len(where) > 1 else np.zeros(len(where), np.int64)
+        if len(where) > 1:  # the last segment of reduceat has what follows too
+            shard.lcp[-1] = near[where[-2] + 1 : where[-1] + 1].min()
+        asked = by[~own] - len(places)
+        shard.spot, shard.back, shard.on = (np.zeros(len(at), np.int64) for _ in range(3))
+        shard.spot[asked] = np.cumsum(own)[~own]
+        shard.back[asked] = least_so_far(near, np.append(False, own[:-1]))[~own]
+        shard.on[asked] = least_so_far(np.append(near[1:], 0)[::-1], np.append(False, own[::-1][:-1]) | own[::-1])[::-1][~own]
+        return shard
+
     def table(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys of all n-grams, their first and end places in the suffix array)."""
         known = self._tables.get(n)
@@ -148,13 +222,16 @@ class Shard:
         hit = own[at] == keys
         return np.where(hit, first[at], 0).astype(np.int64), np.where(hit, end[at], 0).astype(np.int64)
 
-    def drops(self, q: np.ndarray, at: np.ndarray, room: np.ndarray, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def drops(self, q: np.ndarray, at: np.ndarray, room: np.ndarray, order: np.ndarray | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in at, length, n): n suffixes share exactly the first `length` tokens, two or more, with q from at.
 
         room: how many tokens of q count from there. So a prefix of m tokens occurs as often as the n
         of all lengths from m on add up to. order: at, which are all the places of some texts, by their
-        first two tokens' keys; then what _advancing() says can't matter is left out.
+        first two tokens' keys; then what _advancing() says can't matter is left out. left: the token
+        before each place, none of the shard's at the head of a text; then places whose longest match
+        is seen behind that token too are left out: the match from the place before reaches as far.
         """
+        seen = None if left is None else np.zeros(len(at), bool)
         who = np.flatnonzero(room >= 2) if order is None else order
         out: list[tuple] = []
         lo = hi = np.zeros(0, np.int64)
@@ -185,9 +262,11 @@ class Shard:
             who, lo, hi = who[keep], lo[keep], hi[keep]
         else:
             least = np.zeros(len(who), np.int64)
-        for i, length, n in self._spread(q, at[who], room[who], lo, hi, least):
+        for i, length, n in self._spread(q, at[who], room[who], lo, hi, least, (who, left, seen)):
             use = length > least[i]
             out.append((who[i[use]], length[use], n[use]))
+        if seen is not None:
+            out = [tuple(c[~seen[x[0]]] for c in x) for x in out]
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z
@@ -235,9 +314,14 @@ class Shard:
             ends.append(a)
         return ends[0], ends[1]
 
-    def _spread(self, q, at, room, lo, hi, least) -> list[tuple]:
-        """[(i, length, n)]: n of the suffixes lo to hi share just so many tokens with q from place i; lengths up to least may lack."""
+    def _spread(self, q, at, room, lo, hi, least, before=()) -> list[tuple]:
+        """[(i, length, n)]: n of the suffixes lo to hi share just so many tokens with q from place i; lengths up to least may lack.
+
+        before: (who, left, seen) of drops(); where left is given, in an around() shard, seen is set if a suffix that shares most is behind left.
+        """
         out, i = [], np.arange(len(at))
+        if self.lcp is not None:
+            return self._around(at, lo, hi, *before)
         deep = np.flatnonzero(least > TABLES[-1])
         lo, hi = lo.copy(), hi.copy()
         lo[deep], hi[deep] = self._prefix(q, at[deep], least[deep] + 1, lo[deep], hi[deep])
@@ -272,6 +356,33 @@ class Shard:
             i, lo, hi, known = i[keep], start[keep], end[keep], d[keep] + 1
         return out
 
+    def _around(self, at, lo, hi, who, left, seen) -> list[tuple]:
+        """_spread() of an around() shard: from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share."""
+        out, spot = [], np.clip(self.spot[who], lo, hi)
+        size = hi - lo
+        part = np.cumsum(size) // (8 * _MANY)
+        for f in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else []:
+            rows = []
+            for n, first, way in ((hi[f] - spot[f], self.on, 1), (spot[f] - lo[f], self.back, -1)):
+                g, n = f[n > 0], n[n > 0]
+                of, head = np.repeat(g, n), np.cumsum(n) - n
+                j = np.repeat(spot[g] - (way < 0), n) + way * (np.arange(len(of)) - np.repeat(head, n))
+                share = self.lcp[j if way > 0 else np.minimum(j + 1, len(self.lcp) - 1)]
+                new = np.zeros(len(of), bool)
+                new[head] = True
+                share[head] = first[who[g]]
+                rows.append((of, j, least_so_far(share, new)))
+            of, j, share = (np.concatenate(x) for x in zip(*rows))
+            key, count = np.unique(of << 32 | share, return_counts=True)
+            out.append((key >> 32, key & 0xFFFFFFFF, count))
+            if left is not None:
+                most = np.zeros(f[-1] - f[0] + 1, np.int64)
+                np.maximum.at(most, of - f[0], share)
+                top = share == most[of - f[0]]
+                of, j = of[top], j[top]
+                seen[who[of[self.t[self._place(j) - 1] == left[who[of]]]]] = True
+        return out
+
     def _advancing(self, q, at, room, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         """(which, least): the places whose longest match ends behind that of the place before, and how long a match ending there is.
 
