@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
 
 
 def _clean(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("u") != F.col("v")).distinct().checkpoint()
+    return written(edges.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,10 +32,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b), longs in any order -> (node, root): root is the least node that node reaches.
 
     Nodes without an edge to another node are left out. Null ends are ignored. Each step is a
-    partial aggregation and a join on one node, which AQE can split when a hub is hot; lineage is
-    cut with checkpoint(). Nothing but a count and a checksum reaches the driver.
+    partial aggregation and a join on one node, which AQE can split when a hub is hot; each step's
+    edges are written. Nothing but a count and a checksum reaches the driver.
     """
-    shared_dir(edges.sparkSession)
     a, b = F.col("a"), F.col("b")
     e = _clean(edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     mark = _mark(e)
