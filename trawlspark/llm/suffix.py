@@ -358,10 +358,13 @@ class Shard:
 
     def _around(self, at, lo, hi, who, left, seen) -> list[tuple]:
         """_spread() of an around() shard: from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share."""
-        out, spot = [], np.clip(self.spot[who], lo, hi)
-        size = hi - lo
-        part = np.cumsum(size) // (8 * _MANY)
-        for f in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1) if len(at) else []:
+        out, spot, rest = [], np.clip(self.spot[who], lo, hi), np.arange(len(at))
+        if left is not None:  # most places in a copy are seen at a neighbour, before the copies are counted
+            hit = self._beside(spot, lo, hi, who, left)
+            seen[who[hit]] = True
+            rest = rest[~hit]
+        part = np.cumsum((hi - lo)[rest]) // (8 * _MANY)
+        for f in np.split(rest, np.flatnonzero(np.diff(part)) + 1) if len(rest) else []:
             rows = []
             for n, first, way in ((hi[f] - spot[f], self.on, 1), (spot[f] - lo[f], self.back, -1)):
                 g, n = f[n > 0], n[n > 0]
@@ -383,6 +386,12 @@ class Shard:
                 seen[who[of[self.t[self._place(j) - 1] == left[who[of]]]]] = True
         return out
 
+    def _beside(self, spot, lo, hi, who, left) -> np.ndarray:
+        """Whether a suffix next to each spot, of lo to hi, shares most and is behind left."""
+        sides = [(np.where(ok, share[who], -1), np.clip(j, 0, len(self.sa) - 1)) for ok, share, j in ((spot > lo, self.back, spot - 1), (spot < hi, self.on, spot))]
+        most = np.maximum(*(share for share, _ in sides))
+        return np.logical_or(*((share == most) & (self.t[self._place(j) - 1] == left[who]) for share, j in sides))
+
     def _advancing(self, q, at, room, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         """(which, least): the places whose longest match ends behind that of the place before, and how long a match ending there is.
 
