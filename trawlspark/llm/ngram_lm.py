@@ -4,10 +4,10 @@ Four passes. (1) Every text becomes 64-bit token hashes in files below the share
 training tokens' counts become a sorted vocabulary there, in files by range. (2) Each file's tokens become
 their places in the vocabulary, 32 bits each, beside the places of its suffixes and of what is looked up, by a
 hash of their first two tokens. (3) A shard has all training suffixes of a range of these hashes, from all
-files: one task orders them to a suffix array and looks up, by binary search, what has such a hash: the
+files: one task splits them, token by token, together with what is looked up and has such a hash: the
 held-out texts from every token on, and the training texts from their first token on (a training text
 occurs itself, so its longest context is its whole past). So a place is looked up in one shard only, and
-the cost is linear in tokens. Suffixes go on in the files of the whole corpus, which each task maps in one row.
+suffixes beside which nothing is looked up are left at once. Suffixes go on in the files of the whole corpus, which each task maps in one row.
 (4) For each file of the store the shards' counts are summed: the context of a token is the longest
 run of tokens before it that occurs in the training texts, and
 p(token) = (count(context, token) + a * p0(token)) / (count(context) + a), p0 being the unigram
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import doc_fold, fresh_path, local_path, written
 from .suffix import Shard, gram_keys
 
-#: Tokens of one suffix array, and of one file of the token store.
+#: Suffixes of one shard, and tokens of one file of the token store.
 SHARD_TOKENS, UNIT_TOKENS = 2_500_000, 3_000_000
 #: Files of tokens end at multiples of so many, so that they can be mapped one behind another.
 ALIGN = 1 << 14

@@ -11,7 +11,7 @@ _CELLS = 1 << 21
 #: Up to so many suffixes are compared with a query one by one; after some rounds of narrowing (a run
 #: of one word loses few suffixes at each length) up to more.
 _FEW, _ROUNDS, _MANY = 256, 16, 1 << 16
-#: So many tokens are sorted one by one before suffixes are compared with each other.
+#: So many tokens are split one by one before suffixes are compared with each other.
 _TOKENS = 8
 
 
@@ -62,45 +62,53 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return sa
 
 
-def ordered(t: np.ndarray, places: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Which of some places of t (INT32 tokens) is the next by the room tokens from each, at whose end, and only there, is one certain token.
+def groups(new: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first member, members, learnt ones among them) of each group of a row; new: where one begins."""
+    start = np.flatnonzero(new)
+    if not len(start):
+        return start, start, start
+    return start, np.diff(np.append(start, len(new))), np.add.reduceat(learnt, start, dtype=np.int64)
 
-    Ties are split token by token, and those that last (copies) by what they have in common with one of them.
-    """
-    order, sa, n = np.arange(len(places)), places.copy(), len(places)
-    rank, room = np.zeros(n, np.int64), room.astype(np.int64)
-    tied = np.arange(n) if n > 1 else np.zeros(0, np.int64)
 
-    def split(by, key) -> np.ndarray:
-        order[tied], sa[tied], room[tied] = order[tied][by], sa[tied][by], room[tied][by]
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        rank[tied] = np.maximum.accumulate(np.where(new, tied, 0))
-        return ~(new & np.append(new[1:], True))
-
-    d = 0
-    while len(tied) and d < _TOKENS:
-        key = rank[tied] << 32 | (t[sa[tied] + d].astype(np.int64) + 2)
-        by = np.argsort(key, kind="stable")
-        more = split(by, key[by])
-        d += 1
-        tied = tied[more & (room[tied] > d)]
-    known = np.full(len(tied), d)
+def begins(key: np.ndarray) -> np.ndarray:
+    """Where a sorted key differs from the one before."""
+    return np.append(np.ones(min(1, len(key)), bool), key[1:] != key[:-1])
+
+
+def ordered(t: np.ndarray, places: np.ndarray, room: np.ndarray, learnt: np.ndarray, new: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of some places of t is the next by the room tokens from each, what it has in common with the one before).
+
+    At the end of the room tokens, and only there, is one certain token. new: where a group begins; the places of a group
+    have known tokens in common. Each group is ordered for itself, and only where learnt places and others are together:
+    of those that are left together the others have the same in common with each, whatever their order.
+    """
+    order, near = np.arange(len(places)), np.where(new, 0, known)
+    tied, of, known = order.copy(), np.cumsum(new), np.full(len(places), known)
     while len(tied):
-        r = rank[tied]
-        start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        size = np.diff(np.append(start, len(r)))
-        at = np.repeat(start + size // 2, size)
-        p, v, most = sa[tied], sa[tied[at]], np.minimum(room[tied], room[tied[at]])
+        e = order[tied]
+        own = learnt[e]
+        start, size, some = groups(begins(of), own)
+        # all are compared with one of the rarer kind: if it is the only one, its group is done
+        rare = own == np.repeat(2 * some <= size, size)
+        upto = np.cumsum(rare)
+        at = np.searchsorted(upto, upto[start] - rare[start] + np.minimum(some, size - some) // 2 + 1)
+        at = np.repeat(at, size)
+        p, v, most = places[e], places[e[at]], np.minimum(room[e], room[e[at]])
         itself = p == v
-        length = common(t, v, t, p, np.where(itself, known, most), known)
-        same = itself | (length >= most)
-        end = np.minimum(length, most - 1)
+        length = np.where(itself, most, common(t, v, t, p, np.where(itself, known, most), known))
+        same, end = length >= most, np.minimum(length, most - 1)
         key = np.where(same, 1 << 31, np.where(t[p + end] < t[v + end], length, (1 << 32) - length))
-        by = np.lexsort((key, r))
-        same, key = same[by], key[by]
-        more = split(by, np.stack([r[by], key], 1).view("i8,i8").ravel()) & ~same
-        tied, known = tied[more], length[by][more]
-    return order
+        key |= np.repeat(np.arange(len(start)), size) << 33
+        by = np.argsort(key)
+        order[tied], key, same, length, own = e[by], key[by], same[by], length[by], own[by]
+        within = np.ones(len(tied), bool)
+        within[start] = False
+        near[tied[within]] = np.minimum(length[1:], length[:-1])[within[1:]]
+        new = begins(key)
+        _, size, some = groups(new, own)
+        more = np.repeat((some > 0) & (some < size), size) & ~same
+        tied, of, known = tied[more], np.cumsum(new)[more], length[more]
+    return order, near
 
 
 def least_so_far(x: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -175,27 +183,91 @@ class Shard:
 
     @classmethod
     def around(cls, t: np.ndarray, places: np.ndarray, room: np.ndarray, at: np.ndarray, left_in: np.ndarray) -> Shard:
-        """The suffixes at some places, see ordered(), with the places at, of which drops() is going to be asked, sorted in.
+        """The suffixes at some places, see ordered(), of two tokens or more, for drops() of the places at, of which so much is left."""
+        shard = cls(t, places)
+        shard.room, shard.lcp = room, np.zeros(0, np.int64)
+        return shard
 
-        lcp: what each suffix has in common with the one before; spot: how many suffixes lie before each
-        of at; back and on: what it has in common with the last of these and with the next one.
+    def _together(self, at: np.ndarray, room: np.ndarray, left: np.ndarray | None, seen: np.ndarray) -> list[tuple]:
+        """drops() of an around() shard: suffixes and what is asked are split token by token, together.
+
+        A group goes on only while it has both; most suffixes are near nothing that is asked and leave at once. What is asked
+        leaves, too, where all suffixes of its group are behind its own left token: so is then the longest match. Those
+        that stay for _TOKENS tokens (copies) are ordered, for _around().
         """
-        both, space = np.concatenate([places, at]), np.concatenate([room, left_in])
-        by = ordered(t, both, space)
-        both, space = both[by], space[by]
-        near = np.append(0, common(t, both[:-1], t, both[1:], np.minimum(space[:-1], space[1:])))
-        own = by < len(places)
-        shard = cls(t, both[own])
-        where = np.flatnonzero(own)
-        shard.lcp = np.append(0, np.minimum.reduceat(near, where[:-1] + 1)[: len(where) - 1]) if len(where) > 1 else np.zeros(len(where), np.int64)
-        if len(where) > 1:  # the last segment of reduceat has what follows too
-            shard.lcp[-1] = near[where[-2] + 1 : where[-1] + 1].min()
-        asked = by[~own] - len(places)
-        shard.spot, shard.back, shard.on = (np.zeros(len(at), np.int64) for _ in range(3))
-        shard.spot[asked] = np.cumsum(own)[~own]
-        shard.back[asked] = least_so_far(near, np.append(False, own[:-1]))[~own]
-        shard.on[asked] = least_so_far(np.append(near[1:], 0)[::-1], np.append(False, own[::-1][:-1]) | own[::-1])[::-1][~own]
-        return shard
+        t, n, out = self.t, len(self.sa), []
+        where, space = np.concatenate([self.sa, at]), np.concatenate([self.room, room]).astype(np.int64)
+        behind = None if left is None else np.concatenate([t[self.sa - 1].astype(np.int64), left])
+        key = (t[where].astype(np.int64) + 2) << 32 | (t[where + 1].astype(np.int64) + 2)
+        count, of, e, d = None, None, np.arange(len(where)), 2
+        while True:
+            by = np.argsort(key)
+            key, e = key[by], e[by]
+            new, own = begins(key), e < n
+            start, size, some = groups(new, own)
+            if count is not None:
+                # those that have a token less in common
+                of = of[by]
+                less = count[of] - np.repeat(some, size)
+                leave = np.flatnonzero(~own & (less > 0))
+                out.append((e[leave] - n, np.full(len(leave), d - 1), less[leave]))
+                self._seen(e, of, np.flatnonzero(~own & np.repeat(some == 0, size)), own, behind, seen)
+            both = np.repeat((some > 0) & (some < size), size)
+            e, own, of, count = e[both], own[both], np.cumsum(new)[both], some[(some > 0) & (some < size)]
+            of = np.cumsum(begins(of)) - 1
+            # texts that end here
+            ends = space[e] == d
+            last = np.flatnonzero(ends & ~own)
+            out.append((e[last] - n, np.full(len(last), d), count[of[last]]))
+            self._seen(e, of, last, own, behind, seen)
+            stay = ~ends
+            if behind is not None and len(e):
+                x = behind[e]
+                low, high = (f.reduceat(np.where(own, x, none), np.flatnonzero(begins(of)))[of] for f, none in ((np.minimum, 1 << 40), (np.maximum, -(1 << 40))))
+                plain = stay & ~own & (low == x) & (high == x)
+                seen[e[plain] - n] = True
+                stay &= ~plain
+                asked = np.zeros(len(count), bool)
+                asked[of[stay & ~own]] = True
+                stay &= asked[of]
+            e, of = e[stay], of[stay]
+            if not len(e):
+                return out
+            if d >= _TOKENS:
+                break
+            key = (of << 32) | (t[where[e] + d].astype(np.int64) + 2)
+            d += 1
+        by, near = ordered(t, where[e], space[e], e < n, begins(of), d)
+        e, of = e[by], of[by]
+        own = e < n
+        spot, rows = np.cumsum(own), np.flatnonzero(own)
+        which = e[~own] - n
+        lo = np.searchsorted(of[rows], of[~own])
+        hi = np.searchsorted(of[rows], of[~own], side="right")
+        rest = Shard(t, self.sa[e[rows]])
+        rest.lcp = np.minimum.reduceat(near, np.append(0, rows[:-1] + 1))
+        rest.lcp[-1] = near[(rows[-2] + 1 if len(rows) > 1 else 0) : rows[-1] + 1].min()  # the last segment has what follows too
+        rest.spot = spot[~own]
+        asked = np.flatnonzero(~own)
+        rest.back = least_so_far(near[asked], np.append(True, own)[asked])
+        rest.on = least_so_far(np.append(near, 0)[asked + 1][::-1], np.append(own, True)[asked + 1][::-1])[::-1]
+        past = np.zeros(len(which), bool)
+        found = rest._around(lo, hi, np.arange(len(which)), None if left is None else left[which], past)
+        seen[which[past]] = True
+        return out + [(which[i], length, n) for i, length, n in found]
+
+    def _seen(self, e, of, who, own, behind, seen) -> None:
+        """Set seen for those of e that have a suffix behind their own left token in their group."""
+        if behind is None or not len(who):
+            return
+        some = np.zeros(int(of.max()) + 1, bool)
+        some[of[who]] = True
+        have = np.flatnonzero(own & some[of])
+        keys = np.sort(of[have] << 32 | behind[e[have]] + 2)
+        want = of[who] << 32 | behind[e[who]] + 2
+        if len(keys):
+            hit = keys[np.minimum(np.searchsorted(keys, want), len(keys) - 1)] == want
+            seen[e[who[hit]] - len(self.sa)] = True
 
     def table(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted keys of all n-grams, their first and end places in the suffix array)."""
@@ -231,7 +303,10 @@ class Shard:
         before each place, none of the shard's at the head of a text; then places whose longest match
         is seen behind that token too are left out: the match from the place before reaches as far.
         """
-        seen = None if left is None else np.zeros(len(at), bool)
+        if self.lcp is not None:
+            seen = np.zeros(len(at), bool)
+            out = [tuple(c[~seen[x[0]]] for c in x) for x in self._together(at, room, left, seen)]
+            return tuple(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in zip(*out))
         who = np.flatnonzero(room >= 2) if order is None else order
         out: list[tuple] = []
         lo = hi = np.zeros(0, np.int64)
@@ -262,11 +337,9 @@ class Shard:
             who, lo, hi = who[keep], lo[keep], hi[keep]
         else:
             least = np.zeros(len(who), np.int64)
-        for i, length, n in self._spread(q, at[who], room[who], lo, hi, least, (who, left, seen)):
+        for i, length, n in self._spread(q, at[who], room[who], lo, hi, least):
             use = length > least[i]
             out.append((who[i[use]], length[use], n[use]))
-        if seen is not None:
-            out = [tuple(c[~seen[x[0]]] for c in x) for x in out]
         if not out:
             z = np.zeros(0, np.int64)
             return z, z, z
@@ -314,14 +387,9 @@ class Shard:
             ends.append(a)
         return ends[0], ends[1]
 
-    def _spread(self, q, at, room, lo, hi, least, before=()) -> list[tuple]:
-        """[(i, length, n)]: n of the suffixes lo to hi share just so many tokens with q from place i; lengths up to least may lack.
-
-        before: (who, left, seen) of drops(); where left is given, in an around() shard, seen is set if a suffix that shares most is behind left.
-        """
+    def _spread(self, q, at, room, lo, hi, least) -> list[tuple]:
+        """[(i, length, n)]: n of the suffixes lo to hi share just so many tokens with q from place i; lengths up to least may lack."""
         out, i = [], np.arange(len(at))
-        if self.lcp is not None:
-            return self._around(at, lo, hi, *before)
         deep = np.flatnonzero(least > TABLES[-1])
         lo, hi = lo.copy(), hi.copy()
         lo[deep], hi[deep] = self._prefix(q, at[deep], least[deep] + 1, lo[deep], hi[deep])
@@ -356,9 +424,13 @@ class Shard:
             i, lo, hi, known = i[keep], start[keep], end[keep], d[keep] + 1
         return out
 
-    def _around(self, at, lo, hi, who, left, seen) -> list[tuple]:
-        """_spread() of an around() shard: from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share."""
-        out, spot, rest = [], np.clip(self.spot[who], lo, hi), np.arange(len(at))
+    def _around(self, lo, hi, who, left, seen) -> list[tuple]:
+        """[(i, length, n)] as _spread(): from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share.
+
+        lcp: what each suffix has in common with the one before; spot: how many suffixes lie before each place; back and on: what
+        it has in common with the last of these and with the next one. Where left is given, seen is set if a suffix that shares most is behind left.
+        """
+        out, spot, rest = [], np.clip(self.spot[who], lo, hi), np.arange(len(lo))
         if left is not None:  # most places in a copy are seen at a neighbour, before the copies are counted
             hit = self._beside(spot, lo, hi, who, left)
             seen[who[hit]] = True
