@@ -36,6 +36,8 @@ from .suffix import Shard, gram_keys
 
 #: Suffixes of one shard, and tokens of one file of the token store.
 SHARD_TOKENS, UNIT_TOKENS = 2_500_000, 3_000_000
+#: Tokens of a unit that are scored at once.
+PIECE_TOKENS = 1 << 18
 #: Files of tokens end at multiples of so many, so that they can be mapped one behind another.
 ALIGN = 1 << 14
 STRENGTH = 100.0
@@ -345,6 +347,13 @@ class Drops:
         end = np.searchsorted(self.at, at, side="right")
         return self.upto[np.maximum(first, end)] - self.upto[first]
 
+    def within(self, start: int, end: int) -> Drops:
+        """Those of the places from start to before end, counted from start."""
+        a, b = np.searchsorted(self.at, [start, end]).tolist()
+        part = Drops.__new__(Drops)
+        part.key, part.upto, part.at = self.key[a:b] - (start << 32), self.upto[a : b + 1] - self.upto[a], self.at[a:b] - start
+        return part
+
     def longest(self, size: int) -> np.ndarray:
         """The longest match from each of `size` places, 0 where none of two tokens."""
         out = np.zeros(size, np.int64)
@@ -352,8 +361,27 @@ class Drops:
         return out
 
 
-def score_unit(t: np.ndarray, lengths: np.ndarray, texts: int, drops: Drops, count: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """(n_known, base, score) of each text of a unit; count: of each token in the training texts."""
+def pieces(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of whole texts, each of about PIECE_TOKENS or one text: (first, end)."""
+    of = (np.cumsum(lengths) - 1) // PIECE_TOKENS
+    cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(lengths)]
+    return list(zip(cut, cut[1:]))
+
+
+def score_unit(t: np.ndarray, lengths: np.ndarray, texts: int, drops: Drops, vocabulary: Vocabulary | None) -> tuple[np.ndarray, ...]:
+    """(n_known, base, score) of each text of a unit, piece by piece, for the memory."""
+    out, ends = [], np.append(0, np.cumsum(lengths))
+    for i, j in pieces(lengths):
+        s, e = int(ends[i]), int(ends[j])
+        words, back = np.unique(t[s:e], return_inverse=True)
+        count = vocabulary.count(words)[back.ravel()] if vocabulary else np.zeros(e - s, np.int64)
+        total, distinct = (vocabulary.total, vocabulary.distinct) if vocabulary else (0, 0)
+        out.append(score_texts(t[s:e], lengths[i:j], min(max(texts - i, 0), j - i), drops.within(s, e), count, total, distinct))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def score_texts(t: np.ndarray, lengths: np.ndarray, texts: int, drops: Drops, count: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
+    """(n_known, base, score) of each of some texts, the first of which are training texts; count: of each token in all training texts."""
     p0 = (count + 0.5) / (total + 0.5 * (distinct + 1))
     at, room = starts_of(lengths)
     head = at + room - np.repeat(lengths, lengths)
@@ -427,14 +455,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
 
         def close():
             unit, ids, lengths, texts = now
-            t = np.full(int(lengths.sum()), -1, np.int32)
-            if shards:
-                t[:] = mapped(f"{folder}/{unit}.tokens", np.int32)[: len(t)]
-            words, back = np.unique(t, return_inverse=True)
-            total, distinct = (vocabulary.total, vocabulary.distinct) if vocabulary else (0, 0)
-            count = vocabulary.count(words)[back.ravel()] if vocabulary else np.zeros(len(t), np.int64)
+            t = mapped(f"{folder}/{unit}.tokens", np.int32) if shards else np.full(int(lengths.sum()), -1, np.int32)
             first = mapped(f"{folder}/{unit}.first", np.int32)
-            known, base, score = (x[first] for x in score_unit(t, lengths, texts, Drops(parts), count, total, distinct))
+            known, base, score = (x[first] for x in score_unit(t, lengths, texts, Drops(parts), vocabulary))
+            total = vocabulary.total if vocabulary else 0
             held = np.arange(len(lengths)) >= texts
             for s in range(0, len(lengths), 10_000):
                 e = min(s + 10_000, len(lengths))

@@ -117,6 +117,39 @@ def least_so_far(x: np.ndarray, new: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(x - of) + of
 
 
+class Below:
+    """Finds the first of some numbers, the last of which is 0, that is below a bound."""
+
+    def __init__(self, x: np.ndarray):
+        x = x.astype(np.int32)
+        self.least = [x]  # of 1, 2, 4... numbers
+        while len(x) > 1:
+            x = np.append(x, 0) if len(x) & 1 else x
+            x = np.minimum(x[::2], x[1::2])
+            self.least.append(x)
+
+    def first(self, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """From each place at on, the first below a bound above 0."""
+        at = at.copy()
+        i = np.flatnonzero(self.least[0][at] >= bound)
+        j, b, k, levels = at[i], bound[i], 0, []
+        # up, past whole blocks, till one has it
+        while len(i):
+            odd = (j >> k) & 1 == 1
+            here = self.least[k][j >> k] < b
+            levels.append((i[here], j[here], b[here]))
+            i, j, b = i[~here], (j + (odd << k))[~here], b[~here]
+            k += 1
+        # and down in it
+        i, j, b = (np.zeros(0, np.int64) for _ in range(3))
+        for k in range(len(levels) - 1, -1, -1):
+            i, j, b = (np.concatenate(x) for x in zip((i, j, b), levels[k]))
+            if k:
+                j = j + ((self.least[k - 1][j >> (k - 1)] >= b).astype(np.int64) << (k - 1))
+        at[i] = j
+        return at
+
+
 def common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray, known: np.ndarray | int = 0) -> np.ndarray:
     """Length of the common prefix of a from each i and b from each j, most at the most; known tokens are known to agree.
 
@@ -193,7 +226,7 @@ class Shard:
 
         A group goes on only while it has both; most suffixes are near nothing that is asked and leave at once. What is asked
         leaves, too, where all suffixes of its group are behind its own left token: so is then the longest match. Those
-        that stay for _TOKENS tokens (copies) are ordered, for _around().
+        that stay for _TOKENS tokens (copies) are ordered, for _climb().
         """
         t, n, out = self.t, len(self.sa), []
         where, space = np.concatenate([self.sa, at]), np.concatenate([self.room, room]).astype(np.int64)
@@ -238,21 +271,18 @@ class Shard:
             key = (of << 32) | (t[where[e] + d].astype(np.int64) + 2)
             d += 1
         by, near = ordered(t, where[e], space[e], e < n, begins(of), d)
-        e, of = e[by], of[by]
+        e = e[by]
         own = e < n
-        spot, rows = np.cumsum(own), np.flatnonzero(own)
-        which = e[~own] - n
-        lo = np.searchsorted(of[rows], of[~own])
-        hi = np.searchsorted(of[rows], of[~own], side="right")
+        rows, asked = np.flatnonzero(own), np.flatnonzero(~own)
+        which = e[asked] - n
         rest = Shard(t, self.sa[e[rows]])
         rest.lcp = np.minimum.reduceat(near, np.append(0, rows[:-1] + 1))
         rest.lcp[-1] = near[(rows[-2] + 1 if len(rows) > 1 else 0) : rows[-1] + 1].min()  # the last segment has what follows too
-        rest.spot = spot[~own]
-        asked = np.flatnonzero(~own)
+        rest.spot = np.cumsum(own)[asked]
         rest.back = least_so_far(near[asked], np.append(True, own)[asked])
         rest.on = least_so_far(np.append(near, 0)[asked + 1][::-1], np.append(own, True)[asked + 1][::-1])[::-1]
         past = np.zeros(len(which), bool)
-        found = rest._around(lo, hi, np.arange(len(which)), None if left is None else left[which], past)
+        found = rest._climb(None if left is None else left[which], past)
         seen[which[past]] = True
         return out + [(which[i], length, n) for i, length, n in found]
 
@@ -424,45 +454,37 @@ class Shard:
             i, lo, hi, known = i[keep], start[keep], end[keep], d[keep] + 1
         return out
 
-    def _around(self, lo, hi, who, left, seen) -> list[tuple]:
+    def _climb(self, left: np.ndarray | None, seen: np.ndarray) -> list[tuple]:
         """[(i, length, n)] as _spread(): from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share.
 
         lcp: what each suffix has in common with the one before; spot: how many suffixes lie before each place; back and on: what
-        it has in common with the last of these and with the next one. Where left is given, seen is set if a suffix that shares most is behind left.
+        it has in common with the last of these and with the next one. A step takes in all suffixes that share as much as the next
+        one on either side, so there are as many steps as lengths. Where left is given, seen is set if a suffix that shares most is behind left.
         """
-        out, spot, rest = [], np.clip(self.spot[who], lo, hi), np.arange(len(lo))
-        if left is not None:  # most places in a copy are seen at a neighbour, before the copies are counted
-            hit = self._beside(spot, lo, hi, who, left)
-            seen[who[hit]] = True
-            rest = rest[~hit]
-        part = np.cumsum((hi - lo)[rest]) // (8 * _MANY)
-        for f in np.split(rest, np.flatnonzero(np.diff(part)) + 1) if len(rest) else []:
-            rows = []
-            for n, first, way in ((hi[f] - spot[f], self.on, 1), (spot[f] - lo[f], self.back, -1)):
-                g, n = f[n > 0], n[n > 0]
-                of, head = np.repeat(g, n), np.cumsum(n) - n
-                j = np.repeat(spot[g] - (way < 0), n) + way * (np.arange(len(of)) - np.repeat(head, n))
-                share = self.lcp[j if way > 0 else np.minimum(j + 1, len(self.lcp) - 1)]
-                new = np.zeros(len(of), bool)
-                new[head] = True
-                share[head] = first[who[g]]
-                rows.append((of, j, least_so_far(share, new)))
-            of, j, share = (np.concatenate(x) for x in zip(*rows))
-            key, count = np.unique(of << 32 | share, return_counts=True)
-            out.append((key >> 32, key & 0xFFFFFFFF, count))
-            if left is not None:
-                most = np.zeros(f[-1] - f[0] + 1, np.int64)
-                np.maximum.at(most, of - f[0], share)
-                top = share == most[of - f[0]]
-                of, j = of[top], j[top]
-                seen[who[of[self.t[self._place(j) - 1] == left[who[of]]]]] = True
-        return out
-
-    def _beside(self, spot, lo, hi, who, left) -> np.ndarray:
-        """Whether a suffix next to each spot, of lo to hi, shares most and is behind left."""
-        sides = [(np.where(ok, share[who], -1), np.clip(j, 0, len(self.sa) - 1)) for ok, share, j in ((spot > lo, self.back, spot - 1), (spot < hi, self.on, spot))]
-        most = np.maximum(*(share for share, _ in sides))
-        return np.logical_or(*((share == most) & (self.t[self._place(j) - 1] == left[who]) for share, j in sides))
+        out, n, i = [], len(self.sa), np.arange(len(self.spot))
+        lo, hi, back, on = self.spot.copy(), self.spot.copy(), self.back.copy(), self.on.copy()
+        lcp = np.append(self.lcp, 0)
+        before, after = Below(self.lcp[::-1]), Below(lcp)
+        if left is not None:
+            behind = np.sort(self.t[self.sa - 1].astype(np.int64) << 32 | np.arange(n))
+        while True:
+            more = np.maximum(back, on) > 0
+            i, lo, hi, back, on = (x[more] for x in (i, lo, hi, back, on))
+            if not len(i):
+                return out
+            most, size = np.maximum(back, on), hi - lo
+            w = np.flatnonzero(back == most)
+            lo[w] = n - 1 - before.first(n - lo[w], most[w])
+            back[w] = lcp[lo[w]]
+            w = np.flatnonzero(on == most)
+            hi[w] = after.first(hi[w] + 1, most[w])
+            on[w] = lcp[hi[w]]
+            if left is not None and not out:
+                at = np.searchsorted(behind, left[i] << 32 | lo)
+                hit = (at < n) & (behind[np.minimum(at, n - 1)] < (left[i] << 32 | hi))
+                seen[i[hit]] = True
+                i, lo, hi, back, on, most, size = (x[~hit] for x in (i, lo, hi, back, on, most, size))
+            out.append((i, most, hi - lo - size))
 
     def _advancing(self, q, at, room, lo, hi) -> tuple[np.ndarray, np.ndarray]:
         """(which, least): the places whose longest match ends behind that of the place before, and how long a match ending there is.
