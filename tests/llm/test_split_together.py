@@ -87,3 +87,24 @@ def test_a_unit_is_scored_in_pieces(monkeypatch):
     assert max(lengths[i:j].sum() for i, j in ngram_lm.pieces(lengths)) < 160
     for x, y in zip(whole, ngram_lm.score_unit(t, lengths, texts, drops, Vocabulary())):
         assert np.allclose(x, y, rtol=1e-12, atol=0)
+
+
+def test_parts_of_a_shard_leave_out_what_the_whole_does(monkeypatch):
+    rng = np.random.default_rng(6)
+    runs = [np.append(np.full(k, 1), 0) for k in (*range(20, 60), 90)]
+    texts = [*runs, *(np.append(rng.integers(1, 4, 30), 0) for _ in range(20))]
+    asked = [np.concatenate([[2], np.full(80, 1), [3, 0]]), texts[45][3:], np.append(rng.integers(1, 4, 30), 0)]
+    t = np.concatenate([*texts, *asked, [0]]).astype(np.int32)
+    ends = np.cumsum([len(x) for x in [*texts, *asked]])
+    n_train = int(ends[len(texts) - 1])
+    room = lambda x: ends[np.searchsorted(ends, x, side="right")] - x
+    places = np.setdiff1d(np.arange(n_train), ends - 1)
+    at = np.setdiff1d(np.arange(n_train, int(ends[-1])), ends - 1)
+    left = t[at - 1].astype(np.int64)
+    left[left == 0] = -2
+    rows = lambda: sorted(zip(*ngram_lm.Drops([np.stack(ngram_lm.drops_of(t, places, room(places), at, room(at), left))]).packed().tolist()))
+    whole = rows()
+    monkeypatch.setattr(ngram_lm, "SHARD_TOKENS", len(places) // 7)
+    assert rows() == whole
+    # the places within the run of 80 are left out; before, parts kept them all, each with all its lengths
+    assert len(whole) < 500

@@ -290,16 +290,9 @@ def _search(folder: str, encoded_path: str):
         for number in numbers:
             places, room = gathered("suffixes", number)
             at, left_in = gathered("asked", number)
-            parts = max(1, -(-len(places) // (2 * SHARD_TOKENS)))
-            left = None
-            if parts == 1:  # in a part of a shard the longest match may not be the longest
-                left = t[at - 1].astype(np.int64)
-                left[left == t[-1]] = -2
-            found = []
-            for i in range(parts):
-                shard = Shard.around(t, places[i::parts], room[i::parts], at, left_in)
-                found.append(shard.drops(t, at, left_in, left=left))
-            who, length, n = (np.concatenate(x) for x in zip(*found))
+            left = t[at - 1].astype(np.int64)
+            left[left == t[-1]] = -2
+            who, length, n = drops_of(t, places, room, at, left_in, left)
             of = np.searchsorted(base, at[who], side="right") - 1
             by = np.argsort(of, kind="stable")
             cut = np.searchsorted(of[by], np.arange(len(units) + 1)).tolist()
@@ -308,12 +301,32 @@ def _search(folder: str, encoded_path: str):
                     own = by[s:e]
                     blob = squeeze.compress(packed(at[who[own]] - base[i], length[own], n[own]))
                     yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([units[i]]), pa.array([blob], pa.binary())], names=["kind", "unit", "blob"])
-        del t, shard
+        del t
         close()
 
     return run
 
 
+def drops_of(t: np.ndarray, places: np.ndarray, room: np.ndarray, at: np.ndarray, left_in: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shard.drops() of the suffixes at some places, in parts where they are too many for one.
+
+    In a part the longest match may not be the longest, so which places are left out is found in all parts first.
+    """
+    parts = max(1, -(-len(places) // (2 * SHARD_TOKENS)))
+    shards = [(places[i::parts], room[i::parts]) for i in range(parts)]
+    which = np.arange(len(at))
+    if parts > 1:
+        most, seen = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        for own in shards:
+            here, beside = Shard.around(t, *own, at, left_in).longest(at, left_in, left)
+            seen = np.where(here == most, seen | beside, np.where(here > most, beside, seen))
+            most = np.maximum(most, here)
+        which = np.flatnonzero(~seen)
+        at, left_in, left = at[which], left_in[which], None
+    who, length, n = (np.concatenate(x) for x in zip(*(Shard.around(t, *own, at, left_in).drops(t, at, left_in, left=left) for own in shards)))
+    return which[who], length, n
+
+
 def packed(at: np.ndarray, length: np.ndarray, n: np.ndarray) -> bytes:
     """drops() in order of places, which are written as steps; each byte of the numbers in a row of its own, so that it compresses."""
     by = np.lexsort((length, at))

@@ -221,12 +221,18 @@ class Shard:
         shard.room, shard.lcp = room, np.zeros(0, np.int64)
         return shard
 
-    def _together(self, at: np.ndarray, room: np.ndarray, left: np.ndarray | None, seen: np.ndarray) -> list[tuple]:
+    def longest(self, at: np.ndarray, room: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the longest match from each place, 0 where none of two tokens; whether a suffix that shares it is behind left), in an around() shard."""
+        most, seen = np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        self._together(at, room, left, seen, most)
+        return most, seen
+
+    def _together(self, at: np.ndarray, room: np.ndarray, left: np.ndarray | None, seen: np.ndarray, most: np.ndarray | None = None) -> list[tuple]:
         """drops() of an around() shard: suffixes and what is asked are split token by token, together.
 
         A group goes on only while it has both; most suffixes are near nothing that is asked and leave at once. What is asked
         leaves, too, where all suffixes of its group are behind its own left token: so is then the longest match. Those
-        that stay for _TOKENS tokens (copies) are ordered, for _climb().
+        that stay for _TOKENS tokens (copies) are ordered, for _climb(). With most only longest() is found.
         """
         t, n, out = self.t, len(self.sa), []
         where, space = np.concatenate([self.sa, at]), np.concatenate([self.room, room]).astype(np.int64)
@@ -242,19 +248,26 @@ class Shard:
                 # those that have a token less in common
                 of = of[by]
                 less = count[of] - np.repeat(some, size)
-                leave = np.flatnonzero(~own & (less > 0))
-                out.append((e[leave] - n, np.full(len(leave), d - 1), less[leave]))
-                self._seen(e, of, np.flatnonzero(~own & np.repeat(some == 0, size)), own, behind, seen)
+                last = np.flatnonzero(~own & np.repeat(some == 0, size))
+                self._seen(e, of, last, own, behind, seen)
+                if most is None:
+                    leave = np.flatnonzero(~own & (less > 0))
+                    out.append((e[leave] - n, np.full(len(leave), d - 1), less[leave]))
+                else:
+                    most[e[last] - n] = d - 1
             both = np.repeat((some > 0) & (some < size), size)
             e, own, of, count = e[both], own[both], np.cumsum(new)[both], some[(some > 0) & (some < size)]
             of = np.cumsum(begins(of)) - 1
             # texts that end here
             ends = space[e] == d
             last = np.flatnonzero(ends & ~own)
-            out.append((e[last] - n, np.full(len(last), d), count[of[last]]))
             self._seen(e, of, last, own, behind, seen)
+            if most is None:
+                out.append((e[last] - n, np.full(len(last), d), count[of[last]]))
+            else:
+                most[e[last] - n] = d
             stay = ~ends
-            if behind is not None and len(e):
+            if behind is not None and most is None and len(e):
                 x = behind[e]
                 low, high = (f.reduceat(np.where(own, x, none), np.flatnonzero(begins(of)))[of] for f, none in ((np.minimum, 1 << 40), (np.maximum, -(1 << 40))))
                 plain = stay & ~own & (low == x) & (high == x)
@@ -281,9 +294,11 @@ class Shard:
         rest.spot = np.cumsum(own)[asked]
         rest.back = least_so_far(near[asked], np.append(True, own)[asked])
         rest.on = least_so_far(np.append(near, 0)[asked + 1][::-1], np.append(own, True)[asked + 1][::-1])[::-1]
-        past = np.zeros(len(which), bool)
-        found = rest._climb(None if left is None else left[which], past)
+        past, top = np.zeros(len(which), bool), None if most is None else np.zeros(len(which), np.int64)
+        found = rest._climb(None if left is None else left[which], past, top)
         seen[which[past]] = True
+        if most is not None:
+            most[which] = top
         return out + [(which[i], length, n) for i, length, n in found]
 
     def _seen(self, e, of, who, own, behind, seen) -> None:
@@ -454,12 +469,13 @@ class Shard:
             i, lo, hi, known = i[keep], start[keep], end[keep], d[keep] + 1
         return out
 
-    def _climb(self, left: np.ndarray | None, seen: np.ndarray) -> list[tuple]:
+    def _climb(self, left: np.ndarray | None, seen: np.ndarray, top: np.ndarray | None = None) -> list[tuple]:
         """[(i, length, n)] as _spread(): from a place's spot on, either way, what it shares with a suffix is the least of what neighbours share.
 
         lcp: what each suffix has in common with the one before; spot: how many suffixes lie before each place; back and on: what
         it has in common with the last of these and with the next one. A step takes in all suffixes that share as much as the next
         one on either side, so there are as many steps as lengths. Where left is given, seen is set if a suffix that shares most is behind left.
+        Where top is given, it gets the longest lengths, and that is all.
         """
         out, n, i = [], len(self.sa), np.arange(len(self.spot))
         lo, hi, back, on = self.spot.copy(), self.spot.copy(), self.back.copy(), self.on.copy()
@@ -483,6 +499,9 @@ class Shard:
                 at = np.searchsorted(behind, left[i] << 32 | lo)
                 hit = (at < n) & (behind[np.minimum(at, n - 1)] < (left[i] << 32 | hi))
                 seen[i[hit]] = True
+                if top is not None:
+                    top[i] = most
+                    return out
                 i, lo, hi, back, on, most, size = (x[~hit] for x in (i, lo, hi, back, on, most, size))
             out.append((i, most, hi - lo - size))
 
