@@ -64,6 +64,14 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
     assert spread(one).rdd.getNumPartitions() > one.rdd.getNumPartitions() and spread(one).count() == 3000
 
 
+def test_stopped_is_as_built_and_its_difference_moves_only_stopped_words(spark, index):
+    built, view = SearchIndex.build(collection(spark, TEXTS), "none", ["the", "A"]), index.stopped(["the", "A"])
+    assert view.params == built.params and view.diff(built).count() == 0
+    d = index.diff(view)
+    assert {(r.term, r.side) for r in d.select("term", "side").distinct().collect()} == {("the", "left"), ("a", "left")}
+    assert d.count() == index.postings.where("term in ('the', 'a')").count() and view.diff(index).where("side = 'left'").count() == 0
+    assert "exceptall" not in plan(d).lower()
+
 
 
 
