@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trawlspark.functions import inverted as I
 from trawlspark.functions import text as T
 from trawlspark.functions.markup import machine
+from trawlspark.operators.impacts import build_impacts
 from trawlspark.operators.index import SearchIndex, spread
 from trawlspark.sources.documents import from_table
 
@@ -73,6 +74,12 @@ def test_stopped_is_as_built_and_its_difference_moves_only_stopped_words(spark,
     assert "exceptall" not in plan(d).lower()
 
 
+def test_impacts_move_no_postings(index):
+    i = build_impacts(index)
+    assert "Exchange" not in plan(i.impacts) and i.impacts.count() == index.postings.count()
+    want = index.postings.drop("weight").join(index.docs.select("docno", "weight"), "docno").count()
+    assert index.postings.join(index.docs.select("docno", F.col("weight").alias("w")), "docno").where("weight = w").count() == want
+
 
 
 
