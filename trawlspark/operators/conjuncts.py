@@ -87,9 +87,10 @@ def lists(postings: DataFrame, conjuncts: DataFrame, kinds: set[tuple[str, bool,
         ends = F.transform("offsets", lambda o: o + F.col("k") - 1 - F.col("i"))
         p = postings.join(small(q), "term").select("qid", "cid", "docno", "slop", "cutoff", "k", "i", ends.alias("ends"))
         if any(k[0] == PHRASE and not k[1] for k in kinds):
-            e = p.where("slop = 0").select("qid", "cid", "docno", "k", "cutoff", F.explode("ends").alias("end"))
-            e = e.groupBy("qid", "cid", "docno", "end").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("cutoff").alias("cutoff")).where("n = k")
-            e = e.groupBy("qid", "cid", "docno").agg(F.count("*").cast("int").alias("f_dt"), F.min("end").alias("first"), F.first("cutoff").alias("cutoff"))
+            # one row for each document, not one for each place: what all words' shifted places have in common
+            e = p.where("slop = 0").groupBy("qid", "cid", "docno").agg(F.collect_list("ends").alias("parts"), F.first("k").alias("k"), F.first("cutoff").alias("cutoff")).where(F.size("parts") == F.col("k"))
+            common = F.aggregate(F.slice("parts", 2, F.size("parts")), F.col("parts")[0], lambda x, y: F.array_intersect(x, y))
+            e = e.withColumn("common", common).select("qid", "cid", "docno", F.size("common").alias("f_dt"), F.array_min("common").alias("first"), "cutoff").where("f_dt > 0")
             out.append(e.where("cutoff = 0 or first < cutoff").select("qid", "cid", "docno", "f_dt"))
         if any(k[0] == PHRASE and k[1] for k in kinds):
             s = p.where("slop > 0").groupBy("qid", "cid", "docno").agg(F.first("slop").alias("slop"), F.array_sort(F.collect_list(F.struct("i", "ends"))).alias("parts"), F.first("k").alias("k"), F.first("cutoff").alias("cutoff"))
