@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from trawlspark.functions import inverted as I
 from trawlspark.functions import text as T
 from trawlspark.functions.markup import machine
+from trawlspark.operators import batch as B
+from trawlspark.operators import metrics as M
+from trawlspark.operators import search as S
 from trawlspark.operators.impacts import build_impacts
 from trawlspark.operators.index import SearchIndex, spread
 from trawlspark.sources.documents import from_table
@@ -81,6 +85,20 @@ def test_impacts_move_no_postings(index):
     assert index.postings.join(index.docs.select("docno", F.col("weight").alias("w")), "docno").where("weight = w").count() == want
 
 
+@pytest.mark.parametrize("metric", [M.Dirichlet(), M.Okapi(), M.Cosine(), M.PivotedCosine(), M.AF1()])
+def test_many_queries_score_as_each_alone(index, metric, monkeypatch):
+    monkeypatch.setattr(B, "HELD", 100)
+    queries = [(str(i), " ".join(random.choice(["the", "sea", "white", "whale", "ship", "x", "dont"]) for _ in range(1 + i % 4))) for i in range(12)]
+    conjuncts = S.conjunct_rows(S.parse_all(index, queries))
+    assert B.takes(conjuncts, metric)
+    take = lambda df: sorted((r.qid, r.rank, r.docno, r.score) for r in df.collect())
+    got, want = take(S.ranked(B.candidates(index, conjuncts, metric, 5), 0, 5)), take(S.ranked(S.scored(index, conjuncts, metric), 0, 5))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-9)
+
+
+def test_equal_scores_are_cut_by_docno():
+    kept = B.best(np.array([1.0] * 50 + [2.0]), np.arange(51), 3)
+    assert sorted(kept.tolist()) == [47, 48, 49, 50]
 
 
 def test_a_stemmer_of_columns(spark):

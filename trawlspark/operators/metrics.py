@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ FLT_EPSILON = 1.1920929e-07
 
 
 class Metric(Protocol):
-    """A metric of one's own needs these: Columns df, cf, f_dt, f_qt, and words, weight of the document."""
+    """A metric of one's own needs these: Columns df, cf, f_dt, f_qt, and words, weight of the document.
+
+    contrib_of and post_of are the same formulas for arrays; with them, many queries are scored at once.
+    """
 
     needs_docs: bool  # whether contrib or post use words or weight
 
@@ -48,6 +52,12 @@ class Dirichlet:
     def post(self, score: Column, p: Params) -> Column:
         return score + F.col("q_terms") * F.log(self.mu / (self.mu + _c("words")))
 
+    def contrib_of(self, p, f_dt, f_qt, df, cf, words):
+        return np.log(1 + f_dt * float(p.terms) / (self.mu * cf))
+
+    def post_of(self, score, p, q_terms, q_weight, words, weight):
+        return score + q_terms * np.log(self.mu / (self.mu + words))
+
 
 @dataclass(frozen=True)
 class Okapi:
@@ -68,6 +78,15 @@ class Okapi:
     def post(self, score: Column, p: Params) -> Column:
         return score
 
+    def contrib_of(self, p, f_dt, f_qt, df, cf, words):
+        idf = np.log((float(p.N) - df + 0.5) / (df + 0.5))
+        r = (self.k3 + 1) * f_qt / (self.k3 + f_qt)
+        length = self.k1 * ((1 - self.b) + self.b * words / (p.avg_words or 1.0))
+        return r * (FLT_EPSILON if idf <= 0 else idf) * (self.k1 + 1) * f_dt / (length + f_dt)
+
+    def post_of(self, score, p, q_terms, q_weight, words, weight):
+        return score
+
 
 @dataclass(frozen=True)
 class Cosine:
@@ -79,6 +98,12 @@ class Cosine:
     def post(self, score: Column, p: Params) -> Column:
         return score / (_c("weight") * F.col("q_weight"))
 
+    def contrib_of(self, p, f_dt, f_qt, df, cf, words):
+        return (1 + np.log(f_qt)) * (1 + np.log(f_dt))
+
+    def post_of(self, score, p, q_terms, q_weight, words, weight):
+        return score / (weight * q_weight)
+
 
 @dataclass(frozen=True)
 class PivotedCosine:
@@ -91,6 +116,12 @@ class PivotedCosine:
     def post(self, score: Column, p: Params) -> Column:
         return score / ((1 - self.pivot) + self.pivot * _c("weight") / (p.avg_weight or 1.0))
 
+    def contrib_of(self, p, f_dt, f_qt, df, cf, words):
+        return f_qt * np.log(1 + float(p.N) / df) * (1 + np.log(f_dt))
+
+    def post_of(self, score, p, q_terms, q_weight, words, weight):
+        return score / ((1 - self.pivot) + self.pivot * weight / (p.avg_weight or 1.0))
+
 
 @dataclass(frozen=True)
 class AF1:
@@ -107,6 +138,13 @@ class AF1:
     def post(self, score: Column, p: Params) -> Column:
         return score
 
+    def contrib_of(self, p, f_dt, f_qt, df, cf, words):
+        r = (self.k3 + 1) * f_qt / (self.k3 + f_qt)
+        return r * self.alpha * np.log(f_dt + 1) * np.log((float(p.N) - df + 0.5) / (df + 0.5))
+
+    def post_of(self, score, p, q_terms, q_weight, words, weight):
+        return score
+
 
 @dataclass(frozen=True)
 class Impact:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trawlspark.functions.porter import porter
 from trawlspark.functions.text import STEMMERS
 
+from . import batch
 from . import conjuncts as C
 from .index import SearchIndex
 from .metrics import METRICS, Dirichlet, Impact
@@ -121,7 +122,8 @@ def batch_search(index: SearchIndex, queries: list[tuple[str, str]], metric=None
     """(qid, rank, docno, score, aux) of all queries in one job."""
     metric = Dirichlet() if metric is None else METRICS[metric]() if isinstance(metric, str) else metric
     rows = conjunct_rows(parse_all(index, queries, query_stop, word_limit))
-    top = ranked(scored(index, rows, metric), start, length)
+    scores = batch.candidates(index, rows, metric, start + length) if batch.takes(rows, metric) else scored(index, rows, metric)
+    top = ranked(scores, start, length)
     return top.join(index.docs.select("docno", "aux"), "docno").select("qid", "rank", "docno", "score", "aux")
 
 
